@@ -1,0 +1 @@
+"""Every operator here works on batch tables, so this package is empty on purpose."""

@@ -24,18 +24,22 @@ def exact_round(x: Column, digits: int) -> Column:
     to which side of the tie the true product lies.
     """
     scale = F.lit(float(10**digits))
-    product = x * scale
-    split = x * F.lit(134217729.0)
-    high = split - (split - x)
-    error = (high * scale - product) + (x - high) * scale
-    down = F.floor(product).cast("double")
-    on_tie = (product - down) == F.lit(0.5)
-    rounded = (
-        F.when(on_tie & (error > 0), down + 1.0)
-        .when(on_tie & (error < 0), down)
-        .otherwise(F.rint(product))
-    )
-    return rounded / scale
+
+    def rounded(v: Column) -> Column:
+        product = v * scale
+        split = v * F.lit(134217729.0)
+        high = split - (split - v)
+        error = (high * scale - product) + (v - high) * scale
+        down = F.floor(product).cast("double")
+        on_tie = (product - down) == F.lit(0.5)
+        return (
+            F.when(on_tie & (error > 0), down + 1.0)
+            .when(on_tie & (error < 0), down)
+            .otherwise(F.rint(product))
+        ) / scale
+
+    # As a lambda argument the input is computed once, however often it is read.
+    return F.transform(F.array(x.cast("double")), rounded)[0]
 
 
 def whole_text(x: Column) -> Column:

@@ -54,14 +54,14 @@ def order_rollup(orders: DataFrame) -> DataFrame:
     )
 
 
-def raw_risk_score() -> Column:
-    """Weighted shortfalls in lateness, speed, quality and cost, at most 100, not rounded."""
+def risk_score() -> Column:
+    """Weighted shortfalls in lateness, speed, quality and cost, at most 100."""
     zero = F.lit(0.0)
     late = (F.lit(1.0) - F.col("on_time_rate")) * LATE_WEIGHT
     slow = F.greatest(zero, F.col("average_delivery_days") - SLOW_ABOVE_DAYS) * SLOW_WEIGHT
     poor = F.greatest(zero, F.lit(QUALITY_TARGET) - F.col("quality_score")) * QUALITY_WEIGHT
     dear = F.greatest(zero, F.col("cost_index") - COST_ABOVE) * COST_WEIGHT
-    return F.least(F.lit(MAX_SCORE), late + slow + poor + dear)
+    return exact_round(F.least(F.lit(MAX_SCORE), late + slow + poor + dear), 1)
 
 
 def risk_level(score: Column) -> Column:
@@ -76,22 +76,20 @@ def scorecard(suppliers: DataFrame, orders: DataFrame) -> DataFrame:
     """
     total = F.coalesce("total_orders", F.lit(0))
     delayed = F.coalesce("delayed_orders", F.lit(0))
+    rate = F.when(total > 0, exact_round(F.lit(1.0) - delayed / total, 3)).otherwise(0.0)
     days = scaled_round(F.coalesce("mean_days", "average_delivery_days"), 1)
-    counted = suppliers.join(order_rollup(orders), "supplier_id", "left").select(
-        "supplier_id", "supplier_name", "category", "location", "quality_score",
-        days.alias("average_delivery_days"),
-        "cost_index", "active",
-        total.alias("total_orders"),
-        delayed.alias("delayed_orders"),
-        F.when(total > 0, F.lit(1.0) - delayed / total).otherwise(0.0).alias("raw_rate"),
-    )
-    # Rounding reads its input often, so each raw value is a column of its own first.
     return (
-        counted.withColumn("on_time_rate", exact_round(F.col("raw_rate"), 3))
-        .withColumn("raw_score", raw_risk_score())
-        .withColumn("risk_score", exact_round(F.col("raw_score"), 1))
+        suppliers.join(order_rollup(orders), "supplier_id", "left")
+        .select(
+            "supplier_id", "supplier_name", "category", "location", "quality_score",
+            days.alias("average_delivery_days"),
+            rate.alias("on_time_rate"),
+            "cost_index", "active",
+            total.alias("total_orders"),
+            delayed.alias("delayed_orders"),
+        )
+        .withColumn("risk_score", risk_score())
         .withColumn("risk_level", risk_level(F.col("risk_score")))
-        .drop("raw_rate", "raw_score")
     )
 
 

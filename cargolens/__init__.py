@@ -1 +1,9 @@
 """Supply-chain analytics on Spark: DataFrames in, DataFrames out."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run inside tasks travel with the job, so executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

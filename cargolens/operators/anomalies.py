@@ -108,12 +108,8 @@ def upper_outliers(
     """
     quartiles = quantiles(rows, [group], value, {"q1": 0.25, "q3": 0.75}, deal_by, **limits)
     spread = F.col("q3") - F.col("q1")
-    # The group size counts rows, the quartiles only values that are present.
-    sizes = rows.groupBy(group).agg(F.count("*").alias("size"))
-    bounds = (
-        quartiles.join(sizes, group)
-        .filter((F.col("size") >= MIN_GROUP_ROWS) & (spread != 0))
-        .select(group, (F.col("q3") + F.lit(multiplier) * spread).alias("upper_bound"))
+    bounds = quartiles.filter((F.col("rows") >= MIN_GROUP_ROWS) & (spread != 0)).select(
+        group, (F.col("q3") + F.lit(multiplier) * spread).alias("upper_bound")
     )
     return lookup(rows, bounds, group, deal_by=deal_by).filter(
         F.col(value) > F.col("upper_bound")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cargolens.functions.numbers import exact_round, scaled_round
-from cargolens.functions.text import tokens, word_set
+from cargolens.functions.text import STOP_WORDS, tokens, word_set
 from cargolens.operators.search import TOP_K
+from cargolens.session import materialize
 
 # Fixed values ---------------------------------------------------------------
 NOT_ENOUGH_INFO = "The available documents do not contain enough information to answer this."
@@ -76,14 +79,12 @@ def prompt_context(hits: DataFrame) -> DataFrame:
     return ranked_hits(hits).select("qid", F.array_join(blocks, "\n\n").alias("context"))
 
 
-def recall_detail(questions: DataFrame, hits: DataFrame) -> DataFrame:
+def recall_detail(answers: DataFrame) -> DataFrame:
     """For each answerable question, the documents found and whether the right one is there."""
-    found = hits.groupBy("qid").agg(F.sort_array(F.collect_set("doc")).alias("retrieved_docs"))
-    none = F.array().cast("array<string>")
+    docs = F.array_sort(F.array_distinct(F.transform("hits", lambda hit: hit["doc"])))
     return (
-        questions.filter("answerable")
-        .join(found, "qid", "left")
-        .withColumn("retrieved_docs", F.coalesce("retrieved_docs", none))
+        answers.filter("answerable")
+        .withColumn("retrieved_docs", F.coalesce(docs, F.array().cast("array<string>")))
         .select(
             "qid",
             "expected_doc",
@@ -118,16 +119,18 @@ def groundedness(answers: DataFrame) -> DataFrame:
     )
 
 
-def answer_relevance(answers: DataFrame) -> DataFrame:
+def answer_relevance(
+    answers: DataFrame, stop_words: Sequence[str] = tuple(STOP_WORDS)
+) -> DataFrame:
     """Cosine of question and answer under TF-IDF fitted to just these two texts."""
+
+    def terms(side: str) -> Column:
+        return F.explode(tokens(F.col(side), stop_words)).alias("term")
+
     sides = answers.select("qid", "question", "answer").repartition("qid")
     words = sides.select(
-        "qid", F.explode(tokens(F.col("question"))).alias("term"), F.lit(1).alias("asked")
-    ).unionByName(
-        sides.select(
-            "qid", F.explode(tokens(F.col("answer"))).alias("term"), F.lit(0).alias("asked")
-        )
-    )
+        "qid", terms("question"), F.lit(1).alias("asked")
+    ).unionByName(sides.select("qid", terms("answer"), F.lit(0).alias("asked")))
     idf = F.when((F.col("q") > 0) & (F.col("a") > 0), 1.0).otherwise(F.expr(RARE_IDF))
     sums = (
         words.groupBy("qid", "term")
@@ -149,11 +152,11 @@ def answer_relevance(answers: DataFrame) -> DataFrame:
 
 def qa_evaluation(questions: DataFrame, hits: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """One row: recall, mean groundedness and relevance, share of correct refusals."""
-    answered = extractive_answers(questions, hits)
+    answered = materialize(extractive_answers(questions, hits))  # read by each measure
     scored = answered.filter("answerable")
     grounded = groundedness(scored)
     relevant = answer_relevance(scored.filter(F.col("hits").isNotNull()))
-    recall = recall_at_k(recall_detail(questions, hits))
+    recall = recall_at_k(recall_detail(answered))
     return answered.agg(
         exact_round(
             F.avg(

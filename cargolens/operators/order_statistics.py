@@ -22,7 +22,7 @@ def order_statistics(
     small_group: int = SMALL_GROUP,
     few_groups: bool = False,
 ) -> DataFrame:
-    """The values at given ranks per group, with the group size ``n``.
+    """The values at given ranks per group, with the group's ``rows`` and values ``n``.
 
     ``picks`` maps an output name to the share of rows around which the rank lies and
     to the rank itself (from 0, as a function of ``n``). Null values do not count.
@@ -35,19 +35,18 @@ def order_statistics(
     margin = 3.0 / accuracy
     shares = [share for share, _ in picks.values()]
     wanted = [bound for p in shares for bound in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    rows = df.filter(F.col(value).isNotNull()).select(
-        *keys, *deal_by, F.col(value).cast("double").alias("__value"), F.lit(0).alias("__all")
-    )
-    group = list(keys) or ["__all"]
-    sketch = rows.groupBy(*group).agg(
-        F.count("*").alias("n"),
+    rows = df.select(*keys, *deal_by, F.col(value).cast("double").alias("__value"))
+    sketch = rows.groupBy(*keys).agg(
+        F.count("*").alias("rows"),
+        F.count("__value").alias("n"),
         F.min("__value").alias("__min"),
         F.max("__value").alias("__max"),
         F.percentile_approx("__value", wanted, accuracy).alias("__bounds"),
     )
     small = F.col("n") <= small_group
     brackets = sketch.select(
-        *group,
+        *keys,
+        "rows",
         "n",
         F.array(
             *[
@@ -56,12 +55,17 @@ def order_statistics(
             ]
         ).alias("__bounds"),
     )
-    if few_groups or not keys:
-        placed = rows.join(F.broadcast(brackets), group)
-    elif len(group) == 1:
-        placed = lookup(rows, brackets, group[0], deal_by=deal_by)
+    values = rows.filter(F.col("__value").isNotNull())
+    sizes = ["rows", "n"]
+    if not keys:
+        one = brackets.select(F.struct(*sizes, "__bounds")).scalar()
+        placed = values.withColumn("__one", one).select("__value", "__one.*")
+    elif few_groups:
+        placed = values.join(F.broadcast(brackets), list(keys))
+    elif len(keys) == 1:
+        placed = lookup(values, brackets, keys[0], deal_by=deal_by)
     else:
-        placed = rows.join(brackets, group)
+        placed = values.join(brackets, list(keys))
 
     at = F.col("__value")
     low = [F.col("__bounds")[2 * i] for i in range(len(picks))]
@@ -74,14 +78,14 @@ def order_statistics(
     steps = (
         placed.withColumn("__zone", zone)
         .withColumn("__inside", F.when(inside, at))
-        .groupBy(*group, "n", "__zone", "__inside")
+        .groupBy(*keys, *sizes, "__zone", "__inside")
         .agg(F.count("*").alias("__rows"), F.max("__value").alias("__value"))
     )
-    upto = Window.partitionBy(*group).orderBy("__value").rowsBetween(
+    upto = Window.partitionBy(*keys).orderBy("__value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     ranked = steps.withColumn("__upto", F.sum("__rows").over(upto))
-    found = ranked.groupBy(*group, "n").agg(
+    found = ranked.groupBy(*keys, *sizes).agg(
         *[
             F.min(F.when(F.col("__upto") > rank(F.col("n")), F.struct("__value", "__inside")))
             .alias(name)
@@ -91,7 +95,7 @@ def order_statistics(
     # A rank outside its bracket would mean a sketch beyond its error bound.
     return found.select(
         *keys,
-        "n",
+        *sizes,
         *[
             F.coalesce(
                 F.col(name)["__inside"],
@@ -123,7 +127,7 @@ def quantiles(
         at = place(share)(F.col("n"))
         low, high = F.col(f"{name}__low"), F.col(f"{name}__high")
         columns.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return found.select(*keys, "n", *columns)
+    return found.select(*keys, "rows", "n", *columns)
 
 
 def rank_cut(

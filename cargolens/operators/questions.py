@@ -13,6 +13,7 @@ from cargolens.operators.filters import (
     completed, delivery_days, holds, lookup, stock_ratio,
 )
 from cargolens.operators.trends import decline_text
+from cargolens.session import materialize
 
 # Fixed values ---------------------------------------------------------------
 # Intents and their patterns, tried in this order on the lower-case question.
@@ -272,6 +273,7 @@ def answer_questions(
     questions: DataFrame, suppliers: DataFrame, orders: DataFrame, inventory: DataFrame
 ) -> DataFrame:
     """Intent and answer text for each question (``qid``, ``question``)."""
+    suppliers = materialize(suppliers)  # one row per supplier, read by most answers
     is_count = F.col("intent") == "suppliers_above_delay_threshold"
     is_lookup = F.col("intent") == "supplier_lookup"
     number = F.coalesce("number", F.lit(DEFAULT_THRESHOLD)).cast("bigint")

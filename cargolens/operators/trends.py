@@ -24,32 +24,34 @@ NO_DECLINE_TEXT = "Not enough data to compute performance decline."
 HASH_BUCKET_WIDTH = 1 << 20  # 4,096 buckets over the 32-bit order hash
 
 
-def _running(window_keys: list[str], order: list[str], column: str) -> Column:
-    """Total of ``column`` over all earlier rows of the window."""
-    window = (
-        Window.partitionBy(*window_keys)
+def _before(order: list[str]) -> Column:
+    """Rows counted in all earlier steps of the supplier."""
+    earlier = (
+        Window.partitionBy("supplier_id")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return F.coalesce(F.sum(column).over(window), F.lit(0))
+    return F.coalesce(F.sum("n").over(earlier), F.lit(0))
 
 
-def _cut(counts: DataFrame, level: str) -> tuple[DataFrame, DataFrame]:
-    """Split counted steps at the supplier's quota ``need``.
+def _cut(steps: DataFrame, step: str, *kept: str) -> DataFrame:
+    """Fill each supplier's quota ``need`` with its counted steps in order.
 
-    Returns the on-time orders of all steps that fit whole, and the one step the
-    quota ends in, with what is left of the quota for it.
+    Gives the on-time orders of the steps that fit whole, and the step the quota ends
+    in (null if it ends with a whole step) with what is left of the quota for it.
     """
-    placed = counts.withColumn("before", _running(["supplier_id"], [level], "n"))
-    whole = (
-        placed.filter(F.col("before") + F.col("n") <= F.col("need"))
+    end = F.col("before") + F.col("n")
+    inside = (F.col("before") < F.col("need")) & (end > F.col("need"))
+    left = (F.col("need") - F.col("before")).alias("need")
+    return (
+        steps.withColumn("before", _before([step]))
         .groupBy("supplier_id")
-        .agg(F.sum("good").alias("good"))
+        .agg(
+            *[F.first(c).alias(c) for c in kept],
+            F.sum(F.when(end <= F.col("need"), F.col("good")).otherwise(0)).alias("whole"),
+            F.max(F.when(inside, F.struct(F.col(step).alias("step"), left))).alias("split"),
+        )
     )
-    split = placed.filter(
-        (F.col("before") < F.col("need")) & (F.col("before") + F.col("n") > F.col("need"))
-    ).select("supplier_id", level, (F.col("need") - F.col("before")).alias("need"))
-    return whole, split
 
 
 def halves_by_count(orders: DataFrame, min_orders: int) -> DataFrame:
@@ -65,54 +67,63 @@ def halves_by_count(orders: DataFrame, min_orders: int) -> DataFrame:
         F.when(F.col("status") == ON_TIME, 1).otherwise(0).alias("on_time"),
     )
     rows = rows.withColumn("place", spread_key(rows, "order_id"))
-    count = [F.count("*").alias("n"), F.sum("on_time").alias("good")]
 
-    days = rows.groupBy("supplier_id", "order_date").agg(*count)
     per_supplier = Window.partitionBy("supplier_id")
     days = (
-        days.withColumn("total", F.sum("n").over(per_supplier))
+        rows.groupBy("supplier_id", "order_date")
+        .agg(F.count("*").alias("n"), F.sum("on_time").alias("good"))
+        .withColumn("total", F.sum("n").over(per_supplier))
         .withColumn("total_good", F.sum("good").over(per_supplier))
         .filter(F.col("total") >= min_orders)
         .withColumn("need", F.floor(F.col("total") / 2))
     )
-    totals = days.groupBy("supplier_id").agg(
-        F.first("total").alias("total"), F.first("total_good").alias("total_good")
-    )
-    whole_days, split_day = _cut(days, "order_date")
+    by_day = _cut(days, "order_date", "total", "total_good")
 
-    day_rows = lookup(
-        rows, split_day.withColumnRenamed("order_date", "split_date"), "supplier_id"
-    ).filter(F.col("order_date") == F.col("split_date"))
-    # One row per hash, so copies of one order id collapse before any window.
-    hashes = day_rows.groupBy("supplier_id", "need", "place", "order_id", "on_time").agg(
-        F.count("*").alias("n")
-    ).withColumn("bucket", F.floor(F.col("place") / HASH_BUCKET_WIDTH))
-    buckets = hashes.groupBy("supplier_id", "need", "bucket").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("on_time")).alias("good")
+    split_days = by_day.filter("split IS NOT NULL").select(
+        "supplier_id", F.col("split.step").alias("day"), F.col("split.need").alias("need")
+    )
+    # One row per order id and outcome, so copies of an order collapse before any window.
+    hashes = (
+        lookup(rows, split_days, "supplier_id")
+        .filter(F.col("order_date") == F.col("day"))
+        .groupBy("supplier_id", "need", "place", "order_id", "on_time")
+        .agg(F.count("*").alias("n"))
+        .withColumn("bucket", F.floor(F.col("place") / HASH_BUCKET_WIDTH))
+    )
+    by_bucket = _cut(
+        hashes.groupBy("supplier_id", "need", "bucket").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("on_time")).alias("good")
+        ),
+        "bucket",
     )
-    whole_buckets, split_bucket = _cut(buckets, "bucket")
 
-    last = hashes.drop("need").join(split_bucket, ["supplier_id", "bucket"])
-    last = last.withColumn(
-        "before", _running(["supplier_id"], ["place", "order_id", "on_time"], "n")
+    split_buckets = by_bucket.filter("split IS NOT NULL").select(
+        "supplier_id", F.col("split.step").alias("bucket"), F.col("split.need").alias("need")
+    )
+    last = (
+        hashes.drop("need")
+        .join(split_buckets, ["supplier_id", "bucket"])
+        .withColumn("before", _before(["place", "order_id", "on_time"]))
     )
     taken = F.greatest(F.lit(0), F.least(F.col("n"), F.col("need") - F.col("before")))
-    tail = last.groupBy("supplier_id").agg(F.sum(taken * F.col("on_time")).alias("good"))
+    tail = last.groupBy("supplier_id").agg(F.sum(taken * F.col("on_time")).alias("tail"))
 
-    early = (
-        whole_days.unionByName(whole_buckets)
-        .unionByName(tail)
-        .groupBy("supplier_id")
-        .agg(F.sum("good").alias("early_good"))
-    )
-    good = F.coalesce("early_good", F.lit(0))
-    return totals.join(early, "supplier_id", "left").select(
-        "supplier_id",
-        F.col("total").alias("completed_orders"),
-        F.floor(F.col("total") / 2).alias("first_orders"),
-        good.alias("first_on_time"),
-        F.ceil(F.col("total") / 2).alias("second_orders"),
-        (F.col("total_good") - good).alias("second_on_time"),
+    zero = F.lit(0)
+    good = F.col("whole") + F.coalesce("bucket_whole", zero) + F.coalesce("tail", zero)
+    return (
+        by_day.join(
+            by_bucket.select("supplier_id", F.col("whole").alias("bucket_whole")),
+            "supplier_id", "left",
+        )
+        .join(tail, "supplier_id", "left")
+        .select(
+            "supplier_id",
+            F.col("total").alias("completed_orders"),
+            F.floor(F.col("total") / 2).alias("first_orders"),
+            good.alias("first_on_time"),
+            F.ceil(F.col("total") / 2).alias("second_orders"),
+            (F.col("total_good") - good).alias("second_on_time"),
+        )
     )
 
 

@@ -446,7 +446,8 @@ def qa_context(spark, sf):
 
 
 def recall_at_k(spark, sf):
-    detail = answers.recall_detail(labelled_questions(spark, sf), _hits(spark, sf))
+    asked = labelled_questions(spark, sf)
+    detail = answers.recall_detail(answers.extractive_answers(asked, _hits(spark, sf)))
     return detail.withColumn("retrieved_docs", F.array_join("retrieved_docs", ","))
 
 

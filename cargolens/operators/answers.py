@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cargolens.functions.numbers import exact_round, scaled_round
 from cargolens.functions.text import STOP_WORDS, tokens, word_set
 from cargolens.operators.search import TOP_K
-from cargolens.session import materialize
+from cargolens.session import broadcast_if_small, materialize
 
 # Fixed values ---------------------------------------------------------------
 NOT_ENOUGH_INFO = "The available documents do not contain enough information to answer this."
@@ -24,10 +24,12 @@ RARE_IDF = "1 + ln(1.5)"  # idf of a word in one of two texts; a word in both ha
 def cite(matches: DataFrame, chunks: DataFrame) -> DataFrame:
     """Matches with document, section, text and the score on four decimals.
 
-    ``chunks`` has ``passage``, ``doc``, ``section`` and ``text``. There are at most k
-    matches per question, far fewer than chunks.
+    ``chunks`` has ``passage``, ``doc``, ``section`` and ``text``. The matches, at most k
+    per question, are kept, so the search runs once; few of them are sent to the chunks
+    instead of shuffling all texts.
     """
-    return matches.join(chunks, "passage").select(
+    found = broadcast_if_small(materialize(matches))
+    return chunks.join(found, "passage").select(
         F.col("question").alias("qid"), "rank", "passage", "doc", "section", "text",
         scaled_round(F.col("score"), 4).alias("score"),
     )

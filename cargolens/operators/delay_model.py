@@ -65,7 +65,10 @@ def train_only_features(
 
 
 def feature_medians(features: DataFrame) -> dict[str, float]:
-    """The median of each numeric column; six numbers, all found in one run."""
+    """The median of each numeric column; six numbers, all found in one run.
+
+    Reads the features twice; hand it a materialized frame if they are costly.
+    """
     long = features.select(
         "order_id", F.posexplode(F.array(*[F.col(c).cast("double") for c in NUMERIC]))
     ).withColumnRenamed("pos", "feature")
@@ -255,6 +258,7 @@ def feature_importance(model: PipelineModel, features: DataFrame) -> DataFrame:
 
 def rule_predictions(features: DataFrame) -> DataFrame:
     """A rule in place of the model: delayed if the supplier's on-time rate is below the median."""
+    features = materialize(features.select("order_id", "on_time_rate", "is_delayed"))
     median = quantiles(features, [], "on_time_rate", {"median": 0.5}, ["order_id"])
     cut = median.select("median").scalar()
     return features.select(

@@ -180,6 +180,10 @@ def matching_suppliers(names: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 def supplier_search(names: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Per name: the first supplier that matches, how many do, and the answer text."""
+    return _search(names, materialize(suppliers))  # read by the index and by the test
+
+
+def _search(names: DataFrame, suppliers: DataFrame) -> DataFrame:
     found = (
         matching_suppliers(names, suppliers)
         .groupBy("name")
@@ -282,7 +286,7 @@ def answer_questions(
     )
 
     counts = counts_above(routed.filter(is_count), suppliers)
-    looked_up = supplier_search(
+    looked_up = _search(
         routed.filter(F.col("name").isNotNull()), suppliers
     ).select("name", F.col("text").alias("lookup_text"))
     general = _general_answers(suppliers, orders, inventory)

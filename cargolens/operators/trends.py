@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cargolens.functions.numbers import spread_key, tenth_text, whole_text
 from cargolens.operators.filters import ON_TIME, completed, is_delayed, lookup
+from cargolens.session import materialize
 
 # Fixed values ---------------------------------------------------------------
 INSIGHT_MIN_ORDERS = 10
@@ -21,7 +22,7 @@ STEADY_TEXT = "Performance has been stable or improving; continue standard monit
 NO_DECLINE_TEXT = "Not enough data to compute performance decline."
 # ----------------------------------------------------------------------------
 
-HASH_BUCKET_WIDTH = 1 << 20  # 4,096 buckets over the 32-bit order hash
+BUCKET_WIDTH = 1 << 20  # 4,096 buckets over the 32-bit order hash
 
 
 def _before(order: list[str]) -> Column:
@@ -54,7 +55,9 @@ def _cut(steps: DataFrame, step: str, *kept: str) -> DataFrame:
     )
 
 
-def halves_by_count(orders: DataFrame, min_orders: int) -> DataFrame:
+def halves_by_count(
+    orders: DataFrame, min_orders: int, bucket_width: int = BUCKET_WIDTH
+) -> DataFrame:
     """On-time counts of the earlier ⌊n/2⌋ completed orders of a supplier and of the rest.
 
     Orders of one day follow one another by a hash of the order id. A supplier may
@@ -77,18 +80,19 @@ def halves_by_count(orders: DataFrame, min_orders: int) -> DataFrame:
         .filter(F.col("total") >= min_orders)
         .withColumn("need", F.floor(F.col("total") / 2))
     )
-    by_day = _cut(days, "order_date", "total", "total_good")
+    # One row per supplier, read for the split days and for the result.
+    by_day = materialize(_cut(days, "order_date", "total", "total_good"))
 
     split_days = by_day.filter("split IS NOT NULL").select(
         "supplier_id", F.col("split.step").alias("day"), F.col("split.need").alias("need")
     )
     # One row per order id and outcome, so copies of an order collapse before any window.
-    hashes = (
+    hashes = materialize(
         lookup(rows, split_days, "supplier_id")
         .filter(F.col("order_date") == F.col("day"))
         .groupBy("supplier_id", "need", "place", "order_id", "on_time")
         .agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.floor(F.col("place") / HASH_BUCKET_WIDTH))
+        .withColumn("bucket", F.floor(F.col("place") / bucket_width))
     )
     by_bucket = _cut(
         hashes.groupBy("supplier_id", "need", "bucket").agg(

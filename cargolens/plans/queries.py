@@ -12,6 +12,7 @@ from cargolens.operators import (
     anomalies, answers, chunks, delay_model, filters, instructions, isolation_forest, kpis,
     questions, scorecard, search, tfidf, trends,
 )
+from cargolens.session import materialize
 from cargolens.sources.star_schema import (
     read_table, supplier_names, supply_inventory, supply_orders, supply_suppliers,
 )
@@ -44,6 +45,10 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object
     return _fitted[key]
 
 
+def _completed(spark: SparkSession, sf_dir: str, with_priority: bool = False) -> DataFrame:
+    return supply_orders(spark, sf_dir, with_priority, only_completed=True)
+
+
 # --- tables, filters and joins ----------------------------------------------
 
 
@@ -59,7 +64,7 @@ def doc_titles(spark, sf):
 
 
 def completed_orders(spark, sf):
-    return _dates_as_text(filters.completed(supply_orders(spark, sf)))
+    return _dates_as_text(filters.completed(_completed(spark, sf)))
 
 
 def low_stock(spark, sf):
@@ -120,7 +125,7 @@ def status_breakdown(spark, sf):
 
 
 def monthly_delay_rate(spark, sf):
-    return _rounded(kpis.monthly_delay_rate(supply_orders(spark, sf)), "delay_rate_pct")
+    return _rounded(kpis.monthly_delay_rate(_completed(spark, sf)), "delay_rate_pct")
 
 
 def stock_by_category(spark, sf):
@@ -167,17 +172,17 @@ def supplier_profile(spark, sf):
 
 
 def supplier_trend(spark, sf):
-    found = trends.supplier_trend(supply_orders(spark, sf))
+    found = trends.supplier_trend(_completed(spark, sf))
     return _rounded(found, "first_rate", "second_rate", "change")
 
 
 def supplier_trend_label(spark, sf):
-    found = trends.supplier_trend_label(supply_orders(spark, sf))
+    found = trends.supplier_trend_label(_completed(spark, sf))
     return _rounded(found, "first_rate", "second_rate", "change")
 
 
 def performance_decline(spark, sf):
-    found = trends.performance_decline(supply_orders(spark, sf))
+    found = trends.performance_decline(_completed(spark, sf))
     return _rounded(found, "delay_rate_first_half", "delay_rate_second_half", "decline")
 
 
@@ -205,13 +210,13 @@ def above_delay_threshold(spark, sf):
 
 def recent_delivery_time(spark, sf):
     return _dates_as_text(
-        _rounded(questions.recent_delivery_time(supply_orders(spark, sf)), "avg_days")
+        _rounded(questions.recent_delivery_time(_completed(spark, sf)), "avg_days")
     )
 
 
 def answer_questions(spark, sf):
     return questions.answer_questions(
-        analytic_questions(spark, sf), supply_suppliers(spark, sf), supply_orders(spark, sf),
+        analytic_questions(spark, sf), supply_suppliers(spark, sf), _completed(spark, sf),
         supply_inventory(spark, sf),
     )
 
@@ -220,7 +225,7 @@ def answer_questions(spark, sf):
 
 
 def delay_spikes(spark, sf):
-    return anomalies.delay_spikes(supply_orders(spark, sf), supplier_names(spark, sf))
+    return anomalies.delay_spikes(_completed(spark, sf), supplier_names(spark, sf))
 
 
 def spike_headlines(spark, sf):
@@ -239,7 +244,7 @@ def value_outliers(spark, sf):
 
 def isolation_flags(spark, sf):
     return isolation_forest.isolation_forest(
-        supply_orders(spark, sf), supplier_names(spark, sf)
+        _completed(spark, sf), supplier_names(spark, sf)
     )
 
 
@@ -261,7 +266,7 @@ def anomaly_report(spark, sf):
 
 def _features(spark, sf):
     return delay_model.delay_features(
-        supply_orders(spark, sf, with_priority=True), supply_suppliers(spark, sf),
+        _completed(spark, sf, with_priority=True), supply_suppliers(spark, sf),
         supply_inventory(spark, sf),
     )
 
@@ -289,12 +294,13 @@ def median_impute(spark, sf):
             "quantity": F.when(F.col("quantity") >= 10, F.col("quantity")),
         }
     )
+    rows = materialize(rows.select("order_id", *delay_model.NUMERIC))
     filled = delay_model.impute(rows, delay_model.feature_medians(rows))
-    return _rounded(filled.select("order_id", *delay_model.NUMERIC), *delay_model.NUMERIC)
+    return _rounded(filled, *delay_model.NUMERIC)
 
 
 def stratified_split(spark, sf):
-    rows = filters.completed(supply_orders(spark, sf)).select(
+    rows = filters.completed(_completed(spark, sf)).select(
         "order_id", filters.is_delayed().alias("is_delayed")
     )
     return delay_model.stratified_split(rows)
@@ -336,7 +342,7 @@ def score_new_orders(spark, sf):
 
 def _rule(spark, sf):
     features = delay_model.delay_features(
-        supply_orders(spark, sf).withColumn("priority", F.lit("Standard")),
+        _completed(spark, sf).withColumn("priority", F.lit("Standard")),
         supply_suppliers(spark, sf),
         supply_inventory(spark, sf),
     )
@@ -481,12 +487,12 @@ def instr_recommend(spark, sf):
 
 
 def instr_trend(spark, sf):
-    return instructions.trend_records(supplier_names(spark, sf), supply_orders(spark, sf))
+    return instructions.trend_records(supplier_names(spark, sf), _completed(spark, sf))
 
 
 def _split_records(spark, sf):
     return instructions.train_split(
-        instructions.all_records(supply_suppliers(spark, sf), supply_orders(spark, sf))
+        instructions.all_records(supply_suppliers(spark, sf), _completed(spark, sf))
     )
 
 

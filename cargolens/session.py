@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -20,6 +20,7 @@ def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> Sp
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -38,3 +39,14 @@ def materialize(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cargolens-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+SMALL_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """Hint a broadcast if the frame, counted first, has at most ``most`` narrow rows.
+
+    For materialized frames, whose size Spark's planner does not know.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -23,16 +23,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def supply_orders(spark: SparkSession, sf_dir: str, with_priority: bool = False) -> DataFrame:
+def supply_orders(
+    spark: SparkSession, sf_dir: str, with_priority: bool = False, only_completed: bool = False
+) -> DataFrame:
     """One row per order line.
 
     The priority needs the large join with ``orders``; leave it out where it is
     not read. Every line has exactly one order, so the join adds and drops no row.
+    ``only_completed`` leaves lines in transit unread where the files allow it.
     """
     line = read_table(spark, sf_dir, "lineitem")
     order_date = F.col("l_shipdate").cast("date")
     quantity = F.col("l_quantity").cast("int")
-    in_transit = order_date >= F.lit(IN_TRANSIT_FROM).cast("date")
+    in_transit = F.col("l_shipdate") >= F.lit(IN_TRANSIT_FROM).cast("timestamp_ntz")
+    if only_completed:
+        line = line.filter(~in_transit | F.col("l_shipdate").isNull())
     status = (
         F.when(in_transit, "In Transit")
         .when(F.col("l_discount") > DELAYED_ABOVE_DISCOUNT, "Delayed")
@@ -91,7 +96,8 @@ def base_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supply_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with their order rollup, risk score and level."""
-    return scorecard(base_suppliers(spark, sf_dir), supply_orders(spark, sf_dir))
+    orders = supply_orders(spark, sf_dir, only_completed=True)
+    return scorecard(base_suppliers(spark, sf_dir), orders)
 
 
 def supplier_names(spark: SparkSession, sf_dir: str) -> DataFrame:

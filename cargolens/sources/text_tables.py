@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cargolens.functions.text import SPACE_CLASS, strip
 from cargolens.operators.chunks import chunk_windows
+from cargolens.session import broadcast_if_small, materialize
 from cargolens.sources.star_schema import read_table
 
 # Fixed values ---------------------------------------------------------------
@@ -80,16 +81,19 @@ def containing_documents(items: DataFrame, documents: DataFrame) -> DataFrame:
     )
     singles = F.transform(F.array_distinct(words), lambda word: F.xxhash64(word))
     document_words = documents.select("doc_id", _words(F.col("text")).alias("words"))
-    pairs = (
-        document_words.select(
-            "doc_id", F.explode(F.array_distinct(F.concat(runs, singles))).alias("anchor")
-        )
-        .join(anchors, "anchor")
-        .select("doc_id", "item_id", "item_text")
+    pairs = broadcast_if_small(
+        materialize(
+            document_words.select(
+                "doc_id", F.explode(F.array_distinct(F.concat(runs, singles))).alias("anchor")
+            )
+            .join(anchors, "anchor")
+            .select("doc_id", "item_id", "item_text")
+        ),
+        most=10_000,  # pairs carry the text of their item
     )
     texts = document_words.select("doc_id", _padded(words).alias("doc_text"))
     return (
-        pairs.join(texts, "doc_id")
+        texts.join(pairs, "doc_id")
         .filter(F.contains("doc_text", "item_text"))
         .select("item_id", "doc_id")
     )

@@ -8,6 +8,10 @@ from pyspark.sql import Column, functions as F
 
 # Fixed values ---------------------------------------------------------------
 # White space as Unicode text processing counts it, separators U+001C-U+001F included.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE_CLASS = (
     r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
@@ -30,7 +34,7 @@ can will just don should now cannot could ought would
 
 def strip(text: Column) -> Column:
     """Drop white space of every kind from both ends."""
-    return F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def title_case(text: Column) -> Column:

@@ -31,12 +31,14 @@ def supplier_months(orders: DataFrame) -> DataFrame:
     delay = F.coalesce(F.col("delivery_delay").try_cast("double"), F.lit(0.0))
     return (
         completed(orders)
-        .groupBy("supplier_id", F.date_format("order_date", "yyyy-MM").alias("month"))
+        .groupBy("supplier_id", F.trunc("order_date", "month").alias("first_day"))
         .agg(
             F.avg(delay).alias("avg_delay"),
             F.sum(is_delayed()).alias("delayed_count"),
             F.count("*").alias("order_count"),
         )
+        .withColumn("month", F.date_format("first_day", "yyyy-MM"))
+        .drop("first_day")
     )
 
 

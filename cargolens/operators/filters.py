@@ -107,7 +107,7 @@ def lookup(
     deal_by: Sequence[str] = ("order_id",),
     spread: int = 16,
 ) -> DataFrame:
-    """Join facts to a table with one row per key, safe for keys that hold most facts.
+    """Join facts to a table with few rows per key, safe for keys that hold most facts.
 
     The facts of a key are dealt over ``spread`` salts by a hash of ``deal_by`` and
     the table is copied to each salt, so a hot key fills ``spread`` tasks instead of

@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from cargolens.functions.numbers import exact_round
 from cargolens.operators.anomalies import FOREST_TYPE, supplier_months, with_names
 from cargolens.operators.order_statistics import quantiles
-from cargolens.session import materialize
+from cargolens.session import materialize, use_all_cores
 
 # Fixed values ---------------------------------------------------------------
 TREES = 200
@@ -128,7 +128,7 @@ def anomaly_scores(
         mean_depth = depth / max(len(shared.value), 1)
         return pd.Series(-(2.0 ** (-mean_depth / norm)))
 
-    return features.withColumn("iso_raw", raw_score(*FEATURES))
+    return use_all_cores(features).withColumn("iso_raw", raw_score(*FEATURES))
 
 
 def isolation_forest(
@@ -138,7 +138,7 @@ def isolation_forest(
     """Supplier-months the forest sets apart, with their score below the cut."""
     keys = ["supplier_id", "month"]
     # Read by the sampling, the count, the quantile and the result.
-    months = materialize(supplier_months(orders))
+    months = use_all_cores(materialize(supplier_months(orders)))
     scored = materialize(anomaly_scores(months, keys, trees, seed=seed))
     cut = quantiles(scored, [], "iso_raw", {"cut": contamination}, keys).select("cut").scalar()
     flagged = scored.withColumn("score", F.col("iso_raw") - cut).filter(F.col("score") < 0)

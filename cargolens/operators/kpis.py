@@ -72,11 +72,11 @@ def status_breakdown(orders: DataFrame) -> DataFrame:
 
 def monthly_delay_rate(orders: DataFrame) -> DataFrame:
     """Share of completed orders delayed, in percent, by calendar month."""
-    month = F.date_format("order_date", "yyyy-MM").alias("month")
     return (
         completed(orders)
-        .groupBy(month)
+        .groupBy(F.trunc("order_date", "month").alias("first_day"))
         .agg((F.avg(is_delayed()) * 100.0).alias("delay_rate_pct"))
+        .select(F.date_format("first_day", "yyyy-MM").alias("month"), "delay_rate_pct")
     )
 
 

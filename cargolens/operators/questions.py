@@ -163,13 +163,13 @@ def matching_suppliers(names: DataFrame, suppliers: DataFrame) -> DataFrame:
     )
     holders = index.groupBy("gram").agg(F.count("*").alias("holders"))
     rarest = (
-        keys.join(holders, "gram", "left")
+        lookup(keys, holders, "gram", "left", deal_by=["name"])
         .groupBy("name", "needle")
         .agg(F.min_by("gram", F.struct(F.coalesce("holders", F.lit(0)), "gram")).alias("gram"))
     )
-    candidates = rarest.join(index, "gram").drop("gram")
+    candidates = lookup(index, rarest, "gram", deal_by=["supplier_id"]).drop("gram")
     return (
-        candidates.join(suppliers, "supplier_id")
+        lookup(candidates, suppliers, "supplier_id", deal_by=["name"])
         .filter(
             holds(F.col("supplier_name"), F.col("name"))
             | holds(F.col("supplier_id").cast("string"), F.col("name"))

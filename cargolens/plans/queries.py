@@ -17,7 +17,7 @@ from cargolens.sources.star_schema import (
     read_table, supplier_names, supply_inventory, supply_orders, supply_suppliers,
 )
 from cargolens.sources.text_tables import (
-    analytic_questions, document_chunks, labelled_questions, markdown_documents,
+    all_documents, analytic_questions, document_chunks, labelled_questions, markdown_documents,
 )
 
 QUERY_TREES = 20  # trees of the delay model in the registered queries
@@ -366,27 +366,30 @@ def rule_classification_report(spark, sf):
 # --- retrieval --------------------------------------------------------------
 
 
-def _vocabulary(spark, sf) -> tfidf.Vocabulary:
-    return _once(
-        spark, sf, "vocabulary",
-        lambda: tfidf.fit_vocabulary(document_chunks(spark, sf), "passage"),
-    )
+def _index(spark, sf) -> tuple[tfidf.Vocabulary, DataFrame]:
+    """Vocabulary and passage vectors, built once as a stored index is."""
+
+    def build():
+        passages = document_chunks(spark, sf)
+        vocabulary = tfidf.fit_vocabulary(passages, "passage")
+        return vocabulary, materialize(tfidf.vectors(passages, "passage", vocabulary))
+
+    return _once(spark, sf, "index", build)
 
 
 def _hits(spark, sf):
-    vocabulary = _vocabulary(spark, sf)
-    passages = document_chunks(spark, sf)
+    vocabulary, vectors = _index(spark, sf)
     asked = read_table(spark, sf, "benchmark").select(
         F.col("item_id").alias("question"), "text"
     )
     found = search.top_matches(
         tfidf.vectors(asked, "question", vocabulary),
-        tfidf.vectors(passages, "passage", vocabulary),
+        vectors,
         n_questions=asked.count(),
         n_passages=vocabulary.texts,
         width=len(vocabulary.rows),
     )
-    return answers.cite(found, passages)
+    return answers.cite(found, document_chunks(spark, sf))
 
 
 def chunk_sections(spark, sf):
@@ -394,17 +397,16 @@ def chunk_sections(spark, sf):
 
 
 def chunk_windows(spark, sf):
-    return chunks.chunk_windows(read_table(spark, sf, "documents"), "doc_id")
+    return chunks.chunk_windows(all_documents(spark, sf), "doc_id")
 
 
 def term_counts(spark, sf):
-    return tfidf.term_counts(read_table(spark, sf, "documents"), "doc_id")
+    return tfidf.term_counts(all_documents(spark, sf), "doc_id")
 
 
 def tfidf_weights(spark, sf):
-    vocabulary = _vocabulary(spark, sf)
-    vectorized = tfidf.vectors(document_chunks(spark, sf), "passage", vocabulary)
-    return _rounded(tfidf.postings(vectorized, "passage", vocabulary), "weight")
+    vocabulary, vectors = _index(spark, sf)
+    return _rounded(tfidf.postings(vectors, "passage", vocabulary), "weight")
 
 
 def index_summary(spark, sf):

@@ -18,6 +18,7 @@ def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> Sp
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -50,3 +51,12 @@ def broadcast_if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     For materialized frames, whose size Spark's planner does not know.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread a frame in fewer partitions than cores before heavy work on each row.
+
+    A large table has partitions enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cargolens.functions.text import SPACE_CLASS, strip
 from cargolens.operators.chunks import chunk_windows
-from cargolens.session import broadcast_if_small, materialize
+from cargolens.operators.filters import lookup
+from cargolens.session import broadcast_if_small, materialize, use_all_cores
 from cargolens.sources.star_schema import read_table
 
 # Fixed values ---------------------------------------------------------------
@@ -29,16 +30,21 @@ QUESTION_WORDINGS = [
 # ----------------------------------------------------------------------------
 
 
+def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and texts of all documents."""
+    return use_all_cores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with their short lines marked as section headers."""
-    return read_table(spark, sf_dir, "documents").select(
+    return all_documents(spark, sf_dir).select(
         "doc_id", F.regexp_replace("text", SHORT_LINE, "## $1").alias("text")
     )
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over all documents, with an integer key per passage."""
-    pieces = chunk_windows(read_table(spark, sf_dir, "documents"), "doc_id")
+    pieces = chunk_windows(all_documents(spark, sf_dir), "doc_id")
     return pieces.select(
         (F.col("doc_id") * PASSAGES_PER_DOCUMENT + F.col("chunk_no")).alias("passage"),
         F.col("doc_id").cast("string").alias("doc"),
@@ -81,13 +87,14 @@ def containing_documents(items: DataFrame, documents: DataFrame) -> DataFrame:
     )
     singles = F.transform(F.array_distinct(words), lambda word: F.xxhash64(word))
     document_words = documents.select("doc_id", _words(F.col("text")).alias("words"))
+    document_anchors = document_words.select(
+        "doc_id", F.explode(F.array_distinct(F.concat(runs, singles))).alias("anchor")
+    )
     pairs = broadcast_if_small(
         materialize(
-            document_words.select(
-                "doc_id", F.explode(F.array_distinct(F.concat(runs, singles))).alias("anchor")
+            lookup(document_anchors, anchors, "anchor", deal_by=["doc_id"]).select(
+                "doc_id", "item_id", "item_text"
             )
-            .join(anchors, "anchor")
-            .select("doc_id", "item_id", "item_text")
         ),
         most=10_000,  # pairs carry the text of their item
     )
@@ -102,7 +109,7 @@ def containing_documents(items: DataFrame, documents: DataFrame) -> DataFrame:
 def labelled_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark texts as questions; the first document that holds one is expected."""
     items = read_table(spark, sf_dir, "benchmark")
-    documents = read_table(spark, sf_dir, "documents")
+    documents = all_documents(spark, sf_dir)
     expected = (
         containing_documents(items, documents)
         .groupBy("item_id")

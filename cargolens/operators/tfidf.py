@@ -18,22 +18,26 @@ BACKEND = "tfidf"
 VOCABULARY_SCHEMA = "term string, term_no int, df bigint, idf double"
 
 
-def term_counts(
-    texts: DataFrame, key: str, text: str = "text", bigrams: bool = True,
-    stop_words: Sequence[str] = tuple(STOP_WORDS),
+def _terms(
+    texts: DataFrame, key: str, text: str, bigrams: bool, stop_words: Sequence[str]
 ) -> DataFrame:
-    """How often each term occurs in each text.
+    """Every term of every text, with repeats.
 
     The tokens of a text travel together, by key. That one shuffle also serves every
     later step that groups by the key.
     """
     words = texts.select(key, tokens(F.col(text), stop_words).alias("words")).repartition(key)
     terms = with_bigrams(F.col("words")) if bigrams else F.col("words")
-    return (
-        words.select(key, F.explode(terms).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    return words.select(key, F.explode(terms).alias("term"))
+
+
+def term_counts(
+    texts: DataFrame, key: str, text: str = "text", bigrams: bool = True,
+    stop_words: Sequence[str] = tuple(STOP_WORDS),
+) -> DataFrame:
+    """How often each term occurs in each text."""
+    terms = _terms(texts, key, text, bigrams, stop_words)
+    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 @dataclass
@@ -80,9 +84,12 @@ def vectors(
     known = F.broadcast(vocabulary.frame(texts.sparkSession))  # at most max_features rows
     found = F.col("found")
     norm = F.sqrt(F.aggregate("found", F.lit(0.0), lambda total, t: total + t["w"] * t["w"]))
+    # Terms outside the vocabulary go before anything is counted.
     return (
-        term_counts(texts, key, text, bigrams, stop_words)
+        _terms(texts, key, text, bigrams, stop_words)
         .join(known, "term")
+        .groupBy(key, "term_no", "idf")
+        .agg(F.count("*").alias("tf"))
         .groupBy(key)
         .agg(
             F.array_sort(

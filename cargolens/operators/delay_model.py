@@ -57,7 +57,7 @@ def train_only_features(
 ) -> DataFrame:
     """As ``delay_features`` after the split, with supplier rates from training orders only."""
     rows = completed(orders).withColumn("is_delayed", is_delayed())
-    rows = materialize(stratified_split(rows))
+    rows = stratified_split(rows)
     rates = scorecard(base_suppliers, rows.filter("split = 'train'"))
     return _with_dimensions(rows, rates, inventory).select(
         "order_id", "supplier_id", "product_id", *NUMERIC, *CATEGORICAL, "is_delayed", "split"
@@ -95,14 +95,13 @@ def stratified_split(features: DataFrame, train_share: float = TRAIN_SHARE) -> D
     hashed = features.withColumn("__place", spread_key(features, "order_id"))
     cuts = rank_cut(
         hashed, ["is_delayed"], "__place", train_share, ["order_id"], few_groups=True
-    ).select("is_delayed", "cut")
-    return (
-        hashed.join(F.broadcast(cuts), "is_delayed")  # one row per class
-        .withColumn(
-            "split", F.when(F.col("__place") <= F.col("cut"), "train").otherwise("test")
+    ).collect()  # one row per class
+    in_train = F.lit(False)
+    for row in cuts:
+        in_train = in_train | (
+            (F.col("is_delayed") == row.is_delayed) & (F.col("__place") <= row.cut)
         )
-        .drop("__place", "cut")
-    )
+    return hashed.withColumn("split", F.when(in_train, "train").otherwise("test")).drop("__place")
 
 
 def class_weight(train: DataFrame) -> Column:
@@ -278,9 +277,10 @@ class TrainedDelayModel:
 
 def train(features: DataFrame, trees: int = TREES, seed: int = SEED) -> TrainedDelayModel:
     """Split, impute and fit. Frames with a ``split`` column keep their split."""
-    ready = features if "split" in features.columns else stratified_split(features)
-    # Read by the medians, the fit and the evaluation.
-    ready = materialize(ready)
+    # Read by the split, the medians, the fit and the evaluation.
+    ready = materialize(features)
+    if "split" not in ready.columns:
+        ready = stratified_split(ready)
     medians = feature_medians(ready)
     imputed = impute(ready, medians)
     part = imputed.filter("split = 'train'")

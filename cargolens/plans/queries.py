@@ -366,19 +366,19 @@ def rule_classification_report(spark, sf):
 # --- retrieval --------------------------------------------------------------
 
 
-def _index(spark, sf) -> tuple[tfidf.Vocabulary, DataFrame]:
-    """Vocabulary and passage vectors, built once as a stored index is."""
+def _index(spark, sf) -> tuple[DataFrame, tfidf.Vocabulary, DataFrame]:
+    """Passages, vocabulary and vectors over all documents, built once as a stored index is."""
 
     def build():
-        passages = document_chunks(spark, sf)
+        passages = materialize(document_chunks(spark, sf))
         vocabulary = tfidf.fit_vocabulary(passages, "passage")
-        return vocabulary, materialize(tfidf.vectors(passages, "passage", vocabulary))
+        return passages, vocabulary, materialize(tfidf.vectors(passages, "passage", vocabulary))
 
     return _once(spark, sf, "index", build)
 
 
 def _hits(spark, sf):
-    vocabulary, vectors = _index(spark, sf)
+    passages, vocabulary, vectors = _index(spark, sf)
     asked = read_table(spark, sf, "benchmark").select(
         F.col("item_id").alias("question"), "text"
     )
@@ -389,7 +389,7 @@ def _hits(spark, sf):
         n_passages=vocabulary.texts,
         width=len(vocabulary.rows),
     )
-    return answers.cite(found, document_chunks(spark, sf))
+    return answers.cite(found, passages)
 
 
 def chunk_sections(spark, sf):
@@ -405,7 +405,7 @@ def term_counts(spark, sf):
 
 
 def tfidf_weights(spark, sf):
-    vocabulary, vectors = _index(spark, sf)
+    _, vocabulary, vectors = _index(spark, sf)
     return _rounded(tfidf.postings(vectors, "passage", vocabulary), "weight")
 
 

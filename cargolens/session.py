@@ -33,12 +33,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
     The checkpoint goes to the shared folder the cluster names in
     ``spark.checkpoint.dir``, so it survives lost executors. A local folder is
-    used only where the setting is missing, as in tests.
+    used only by local sessions without that setting, as in tests.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cargolens-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cargolens-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -56,7 +58,8 @@ def broadcast_if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
 def use_all_cores(df: DataFrame) -> DataFrame:
     """Spread a frame in fewer partitions than cores before heavy work on each row.
 
-    A large table has partitions enough and is left as it is.
+    A large table has partitions enough and is left as it is. For frames that are read
+    or materialized only: asking others for their partitions would run their shuffles.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -109,12 +109,14 @@ def lookup(
 ) -> DataFrame:
     """Join facts to a table with few rows per key, safe for keys that hold most facts.
 
-    The facts of a key are dealt over ``spread`` salts by a hash of ``deal_by`` and
-    the table is copied to each salt, so a hot key fills ``spread`` tasks instead of
-    one. A table below the session's broadcast threshold is broadcast by Spark and
-    nothing is shuffled.
+    The facts of a key are dealt over ``spread`` salts and the table is copied to each
+    salt, so a hot key fills ``spread`` tasks instead of one. The salt is a hash of
+    ``deal_by`` and of the partition a fact comes from: copies of one fact are dealt out
+    too, and a task that runs again deals the same way. A table below the session's
+    broadcast threshold is broadcast by Spark and nothing is shuffled.
     """
     salt = "__salt"
-    dealt = facts.withColumn(salt, F.pmod(F.xxhash64(*deal_by), F.lit(spread)).cast("int"))
+    place = F.xxhash64(*deal_by, F.spark_partition_id())
+    dealt = facts.withColumn(salt, F.pmod(place, F.lit(spread)).cast("int"))
     copied = table.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(spread)])))
     return dealt.join(copied, [key, salt], how).drop(salt)

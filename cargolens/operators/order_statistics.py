@@ -87,8 +87,9 @@ def order_statistics(
     ranked = steps.withColumn("__upto", F.sum("__rows").over(upto))
     found = ranked.groupBy(*keys, *sizes).agg(
         *[
-            F.min(F.when(F.col("__upto") > rank(F.col("n")), F.struct("__value", "__inside")))
-            .alias(name)
+            F.min(
+                F.when(F.col("__upto") > rank(F.col("n")), F.struct("__value", "__inside"))
+            ).alias(name)
             for name, (_, rank) in picks.items()
         ]
     )

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargolens.operators.anomalies import upper_outliers
+from cargolens.operators.filters import lookup
 from cargolens.operators.order_statistics import quantiles, rank_cut
 
 LARGE = {"accuracy": 300, "small_group": 40}  # brackets come into play from 41 rows
@@ -65,25 +66,30 @@ def test_outliers_by_group(spark, limits):
     assert sorted((r.g, r.v) for r in found.collect()) == [("spiky", 1000.0), ("spiky", 2000.0)]
 
 
-def test_hot_group_is_not_one_task(spark):
-    """A key with most rows is dealt over many tasks when it meets its lookup row."""
-    from cargolens.operators.filters import lookup
-
+@pytest.fixture
+def shuffling(spark):
+    """A session without broadcasts and run-time changes, so that the dealing shows."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "32")
-    try:
-        facts = spark.range(20_000).select(
-            F.col("id").alias("order_id"), F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id"))
-            .alias("k"),
-        )
-        table = facts.select("k").distinct().withColumn("name", F.col("k") * 10)
-        joined = lookup(facts, table, "k")
-        assert joined.count() == 20_000
-        per_task = joined.filter("k = 1").groupBy(F.spark_partition_id()).count().collect()
-        assert len(per_task) >= 8
-        assert max(r["count"] for r in per_task) < 20_000 / 3
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_hot_key_fills_many_tasks(shuffling, copies):
+    """A key with most facts, different ones or copies of one, when it meets its table row."""
+    number = F.lit(7) if copies else F.col("id")
+    facts = shuffling.range(20_000, numPartitions=40).select(
+        F.when(F.col("id") % 3 > 0, number).otherwise(F.col("id")).alias("order_id"),
+        F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") + 2).alias("k"),
+    )
+    table = facts.select("k").distinct().withColumn("name", F.col("k") * 10)
+    joined = lookup(facts, table, "k")
+    assert joined.count() == 20_000
+    assert joined.filter("name <> k * 10").count() == 0
+    per_task = joined.filter("k = 1").groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) >= 8
+    assert max(r["count"] for r in per_task) < 20_000 / 4

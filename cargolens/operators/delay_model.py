@@ -131,7 +131,7 @@ def fit(train: DataFrame, trees: int = TREES, seed: int = SEED) -> PipelineModel
         RandomForestClassifier(
             labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees,
             maxDepth=MAX_DEPTH, minInstancesPerNode=MIN_LEAF, featureSubsetStrategy="sqrt",
-            seed=seed, maxMemoryInMB=1024,
+            seed=seed, maxMemoryInMB=1024, cacheNodeIds=True,
         ),
     ]
     weighted = train.withColumn("weight", class_weight(train)).withColumn(
@@ -283,6 +283,15 @@ def train(features: DataFrame, trees: int = TREES, seed: int = SEED) -> TrainedD
         ready = stratified_split(ready)
     medians = feature_medians(ready)
     imputed = impute(ready, medians)
-    part = imputed.filter("split = 'train'")
+    # Each stage reads the training rows. Bagging goes by partition and position, so both
+    # are settled by the rows themselves: the same rows and seed give the same model.
+    part = (
+        imputed.filter("split = 'train'")
+        .repartition("order_id")
+        .sortWithinPartitions("order_id", "supplier_id", "product_id", "quantity")
+        .persist()
+    )
+    n_train = part.count()
     model = fit(part, trees, seed)
-    return TrainedDelayModel(model, medians, part.count(), imputed.filter("split = 'test'"))
+    part.unpersist()
+    return TrainedDelayModel(model, medians, n_train, imputed.filter("split = 'test'"))

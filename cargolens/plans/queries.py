@@ -377,6 +377,11 @@ def _index(spark, sf) -> tuple[DataFrame, tfidf.Vocabulary, DataFrame]:
     return _once(spark, sf, "index", build)
 
 
+def _labelled(spark, sf) -> DataFrame:
+    """The labelled questions, kept like the question set of an evaluation."""
+    return _once(spark, sf, "questions", lambda: materialize(labelled_questions(spark, sf)))
+
+
 def _hits(spark, sf):
     passages, vocabulary, vectors = _index(spark, sf)
     asked = read_table(spark, sf, "benchmark").select(
@@ -443,7 +448,7 @@ def dense_topk(spark, sf):
 
 
 def extractive_answers(spark, sf):
-    asked = labelled_questions(spark, sf)
+    asked = _labelled(spark, sf)
     return answers.extractive_answers(asked, _hits(spark, sf)).select(
         "qid", "answer", F.array_join("sources", "; ").alias("sources"), "mode"
     )
@@ -454,23 +459,23 @@ def qa_context(spark, sf):
 
 
 def recall_at_k(spark, sf):
-    asked = labelled_questions(spark, sf)
+    asked = _labelled(spark, sf)
     detail = answers.recall_detail(answers.extractive_answers(asked, _hits(spark, sf)))
     return detail.withColumn("retrieved_docs", F.array_join("retrieved_docs", ","))
 
 
 def groundedness(spark, sf):
-    asked = labelled_questions(spark, sf)
+    asked = _labelled(spark, sf)
     return answers.groundedness(answers.extractive_answers(asked, _hits(spark, sf)))
 
 
 def answer_relevance(spark, sf):
-    asked = labelled_questions(spark, sf)
+    asked = _labelled(spark, sf)
     return answers.answer_relevance(answers.extractive_answers(asked, _hits(spark, sf)))
 
 
 def qa_evaluation(spark, sf):
-    return answers.qa_evaluation(labelled_questions(spark, sf), _hits(spark, sf))
+    return answers.qa_evaluation(_labelled(spark, sf), _hits(spark, sf))
 
 
 # --- instruction records ----------------------------------------------------

@@ -148,6 +148,14 @@ def test_search_is_exact(spark, sparse, skip_self, blocks):
     assert got == _brute(questions, passages, 4, 0.3, skip_self)
 
 
+@pytest.mark.parametrize("sparse", [False, True])
+def test_search_in_small_steps(spark, monkeypatch, sparse):
+    """Batches and buffers that are cut often change nothing."""
+    for name, value in [("BATCH_ROWS", 7), ("BATCH_PRODUCTS", 20), ("KEPT_ROWS", 30)]:
+        monkeypatch.setattr(search, name, value)
+    test_search_is_exact(spark, sparse, True, {})
+
+
 def test_search_without_passages(spark):
     none = spark.createDataFrame([], "passage bigint, weights array<double>")
     asked = spark.createDataFrame([(1, [1.0])], "question bigint, weights array<double>")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cargolens.operators.filters import lookup
 
-ACCURACY = 100_000  # the sketch is off by at most n / ACCURACY ranks
-SMALL_GROUP = 200_000  # up to this many rows the whole range is searched
+ACCURACY = 20_000  # the sketch is off by at most n / ACCURACY ranks
+SMALL_GROUP = 40_000  # up to this many rows the whole range is searched
 
 
 def order_statistics(

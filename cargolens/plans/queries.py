@@ -390,8 +390,6 @@ def _hits(spark, sf):
     found = search.top_matches(
         tfidf.vectors(asked, "question", vocabulary),
         vectors,
-        n_questions=asked.count(),
-        n_passages=vocabulary.texts,
         width=len(vocabulary.rows),
     )
     return answers.cite(found, passages)
@@ -435,11 +433,10 @@ def dense_topk(spark, sf):
         "vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("norm"))
         .alias("weights"),
     )
-    n = rows.count()
     found = search.top_matches(
         scaled.withColumnRenamed("vec_id", "question"),
         scaled.withColumnRenamed("vec_id", "passage"),
-        n_questions=n, n_passages=n, skip_self=True,
+        skip_self=True,
     )
     return found.select(
         F.col("question").alias("query_id"), F.col("passage").alias("vec_id"), "rank",

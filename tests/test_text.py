@@ -122,7 +122,7 @@ def _brute(questions, passages, k, least, skip_self):
 
 @pytest.mark.parametrize("sparse", [False, True])
 @pytest.mark.parametrize("skip_self", [False, True])
-@pytest.mark.parametrize("blocks", [{}, {"block_questions": 7, "slice_rows": 11}])
+@pytest.mark.parametrize("blocks", [{}, {"shared_entries": 60, "slice_rows": 11}])
 def test_search_is_exact(spark, sparse, skip_self, blocks):
     rng = random.Random(2)
     questions, passages = _unit(rng, 30, 12), _unit(rng, 60, 12)
@@ -141,7 +141,7 @@ def test_search_is_exact(spark, sparse, skip_self, blocks):
         )
 
     found = search.top_matches(
-        frame(questions, "question"), frame(passages, "passage"), len(questions), len(passages),
+        frame(questions, "question"), frame(passages, "passage"),
         k=4, min_score=0.3, width=12, skip_self=skip_self, **blocks,
     )
     got = {(r.question, r["rank"], r.passage) for r in found.collect()}
@@ -151,7 +151,9 @@ def test_search_is_exact(spark, sparse, skip_self, blocks):
 @pytest.mark.parametrize("sparse", [False, True])
 def test_search_in_small_steps(spark, monkeypatch, sparse):
     """Batches and buffers that are cut often change nothing."""
-    for name, value in [("BATCH_ROWS", 7), ("BATCH_PRODUCTS", 20), ("KEPT_ROWS", 30)]:
+    for name, value in [
+        ("BATCH_ROWS", 7), ("BATCH_PRODUCTS", 20), ("KEPT_ROWS", 30), ("BLOCK_QUESTIONS", 9)
+    ]:
         monkeypatch.setattr(search, name, value)
     test_search_is_exact(spark, sparse, True, {})
 
@@ -159,7 +161,7 @@ def test_search_in_small_steps(spark, monkeypatch, sparse):
 def test_search_without_passages(spark):
     none = spark.createDataFrame([], "passage bigint, weights array<double>")
     asked = spark.createDataFrame([(1, [1.0])], "question bigint, weights array<double>")
-    assert search.top_matches(asked, none, 1, 0).count() == 0
+    assert search.top_matches(asked, none).count() == 0
 
 
 @pytest.fixture

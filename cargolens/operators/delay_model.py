@@ -284,10 +284,11 @@ def train(features: DataFrame, trees: int = TREES, seed: int = SEED) -> TrainedD
     medians = feature_medians(ready)
     imputed = impute(ready, medians)
     # Each stage reads the training rows. Bagging goes by partition and position, so both
-    # are settled by the rows themselves: the same rows and seed give the same model.
+    # follow from the rows: with as many partitions and the same seed the model is the same.
+    cores = ready.sparkSession.sparkContext.defaultParallelism
     part = (
         imputed.filter("split = 'train'")
-        .repartition("order_id")
+        .repartition(max(cores, imputed.rdd.getNumPartitions()), "order_id")
         .sortWithinPartitions("order_id", "supplier_id", "product_id", "quantity")
         .persist()
     )

@@ -46,7 +46,8 @@ UNROUTED_TEXT = (
 NO_NAME_TEXT = "Please specify a supplier name or ID."
 # ----------------------------------------------------------------------------
 
-GRAM = 3  # length of the letter groups that lead from a search text to candidate suppliers
+VALUES_PER_RUN = 1024
+GRAM_SIZES = (1, 2, 4, 8)  # runs of letters that lead from a search text to suppliers
 
 
 def _first_match(text: Column, pattern: str) -> Column:
@@ -121,8 +122,9 @@ def recent_delivery_time(orders: DataFrame, days: int = RECENT_DAYS) -> DataFram
 
 
 def _supplier_sentence() -> Column:
+    code = F.col("supplier_id").cast("string")
     return F.concat(
-        F.col("supplier_name"), F.lit(" ("), F.col("supplier_id").cast("string"),
+        F.coalesce("supplier_name", code), F.lit(" ("), code,
         F.lit("): on-time rate "), percent_text(F.col("on_time_rate")),
         F.lit(", avg delivery "), F.col("average_delivery_days").cast("string"),
         F.lit(" days, quality score "), F.col("quality_score").cast("string"),
@@ -139,28 +141,28 @@ def _grams(text: Column, size: int) -> Column:
 def matching_suppliers(names: DataFrame, suppliers: DataFrame) -> DataFrame:
     """All (name, supplier) pairs where the supplier's name or id holds ``name``.
 
-    A pair must share every group of three letters of ``name``, so the join goes
-    over the group the fewest suppliers hold, and only its suppliers are tested.
-    Names shorter than three letters are looked up among the groups of their own
-    length.
+    A pair must share every run of letters of ``name``, so the join goes over the run
+    the fewest suppliers hold, and only its suppliers are tested. Runs are of eight
+    letters or, for shorter names, of the largest indexed size that fits.
     """
     wanted = names.select("name").distinct().withColumn("needle", F.lower("name"))
-    sides = F.array(F.lower("supplier_name"), F.lower(F.col("supplier_id").cast("string")))
+    sides = F.array(
+        F.lower(F.coalesce("supplier_name", F.lit(""))),
+        F.lower(F.col("supplier_id").cast("string")),
+    )
 
     def all_grams(text: Column) -> Column:
-        return F.flatten(F.array(*[_grams(text, size) for size in range(1, GRAM + 1)]))
+        return F.flatten(F.array(*[_grams(text, size) for size in GRAM_SIZES]))
 
     index = suppliers.select(
         "supplier_id",
         F.explode(F.array_distinct(F.flatten(F.transform(sides, all_grams)))).alias("gram"),
     )
     needle = F.col("needle")
-    keys = wanted.withColumn(
-        "gram",
-        F.explode(
-            F.when(F.length(needle) >= GRAM, _grams(needle, GRAM)).otherwise(F.array(needle))
-        ),
-    )
+    runs = F.array(needle)
+    for size in GRAM_SIZES:
+        runs = F.when(F.length(needle) >= size, _grams(needle, size)).otherwise(runs)
+    keys = wanted.withColumn("gram", F.explode(runs))
     holders = index.groupBy("gram").agg(F.count("*").alias("holders"))
     rarest = (
         lookup(keys, holders, "gram", "left", deal_by=["name"])
@@ -209,22 +211,44 @@ def _search(names: DataFrame, suppliers: DataFrame) -> DataFrame:
 def counts_above(thresholds: DataFrame, suppliers: DataFrame) -> DataFrame:
     """How many suppliers have more delayed orders than each threshold.
 
-    Works on the histogram of delayed orders: with d distinct counts there are at
-    least d²/2 delayed orders, so even 10^12 of them leave a window of 1.5 million
-    rows. Thresholds and counts are merged by value instead of being paired.
+    Thresholds and the histogram of delayed orders are merged by value instead of being
+    paired. Suppliers above are counted inside runs of 1,024 values and over whole runs,
+    so the one window without partitions sees a row per run.
     """
     steps = suppliers.groupBy(F.col("delayed_orders").alias("value")).agg(
         F.count("*").alias("suppliers")
     )
-    asked = thresholds.select(F.col("threshold").alias("value")).distinct()
-    merged = steps.withColumn("asked", F.lit(0)).unionByName(
-        asked.select("value", F.lit(0).cast("bigint").alias("suppliers"), F.lit(1).alias("asked"))
+    asked = thresholds.filter(F.col("threshold").isNotNull()).select(
+        F.col("threshold").alias("value")
+    )
+    merged = (
+        steps.withColumn("asked", F.lit(False))
+        .unionByName(
+            asked.distinct().select(
+                "value", F.lit(0).cast("bigint").alias("suppliers"), F.lit(True).alias("asked")
+            )
+        )
+        .withColumn("run", F.floor(F.col("value") / VALUES_PER_RUN))
+    )
+    in_run = (
+        Window.partitionBy("run")
+        .orderBy(F.desc("value"))
+        .rangeBetween(Window.unboundedPreceding, -1)
+    )
+    later_runs = Window.orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    runs = (
+        merged.groupBy("run")
+        .agg(F.sum("suppliers").alias("in_whole_run"))
+        .withColumn("later", F.coalesce(F.sum("in_whole_run").over(later_runs), zero))
     )
-    larger = Window.orderBy(F.desc("value")).rangeBetween(Window.unboundedPreceding, -1)
     return (
-        merged.withColumn("above", F.coalesce(F.sum("suppliers").over(larger), F.lit(0)))
-        .filter(F.col("asked") == 1)
-        .select(F.col("value").alias("threshold"), "above")
+        merged.withColumn("larger", F.coalesce(F.sum("suppliers").over(in_run), zero))
+        .filter("asked")
+        .join(runs, "run")
+        .select(
+            F.col("value").alias("threshold"), (F.col("larger") + F.col("later")).alias("above")
+        )
     )
 
 

@@ -175,15 +175,39 @@ def test_questions(spark, suppliers, orders, stock):
     assert rows[12].text == questions.UNROUTED_TEXT
 
 
-def test_search_of_short_and_missing_names(spark, suppliers):
-    names = spark.createDataFrame([(n,) for n in ["g", "gr", "GROUP", "sup", "p2", "qqq", "s g"]], "name string")
-    found = {r.name: (r.first_match, r.matches) for r in questions.supplier_search(names, suppliers).collect()}
-    assert found == {
-        "g": ("SUP1", 3), "gr": ("SUP1", 2), "GROUP": ("SUP1", 2), "sup": ("SUP1", 3),
-        "p2": ("SUP2", 1), "qqq": (None, 0), "s g": ("SUP1", 1),
+def test_counts_above_many_thresholds(spark):
+    values = [0, 0, 5, 1023, 1024, 1024, 1025, 4096, 70_000]
+    asked = [-1, 0, 4, 5, 1022, 1023, 1024, 1024, 4095, 4096, 69_999, 70_000, 10**9, None]
+    found = questions.counts_above(
+        spark.createDataFrame([(v,) for v in asked], "threshold bigint"),
+        spark.createDataFrame([(v,) for v in values], "delayed_orders bigint"),
+    )
+    assert {r.threshold: r.above for r in found.collect()} == {
+        t: sum(v > t for v in values) for t in asked if t is not None
     }
 
 
+def test_search_of_short_and_missing_names(spark, suppliers):
+    unnamed = suppliers.withColumn(
+        "supplier_name", F.when(F.col("supplier_id") != "SUP3", F.col("supplier_name"))
+    )
+    asked = ["g", "gr", "GROUP", "sup", "p2", "p3", "qqq", "s g", "atlas group", "Beacon Trading",
+             "Beacon Trading Inc", "beacon trbding"]
+    names = spark.createDataFrame([(name,) for name in asked], "name string")
+    for table in (suppliers, unnamed):
+        rows = table.select("supplier_id", "supplier_name").collect()
+        wanted = {}
+        for name in asked:
+            ids = [
+                r.supplier_id for r in rows
+                if name.lower() in (r.supplier_name or "").lower()
+                or name.lower() in r.supplier_id.lower()
+            ]
+            wanted[name] = (min(ids, default=None), len(ids))
+        found = questions.supplier_search(names, table).collect()
+        assert {r.name: (r.first_match, r.matches) for r in found} == wanted
+
+
 def test_records(suppliers, orders):
     records = instructions.train_split(instructions.all_records(suppliers, orders))
     rows = records.collect()

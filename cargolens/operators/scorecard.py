@@ -71,15 +71,19 @@ def risk_level(score: Column) -> Column:
 def scorecard(suppliers: DataFrame, orders: DataFrame) -> DataFrame:
     """Suppliers with order counts, on-time rate, delivery days, risk score and level.
 
-    The orders shrink to one row per supplier before they meet the suppliers. A
+    Rates, counts and scores the suppliers already have are computed anew. The orders shrink to one row per supplier before they meet the suppliers. A
     supplier without completed orders gets rate 0 and keeps its own delivery days.
     """
+    base = suppliers.select(
+        "supplier_id", "supplier_name", "category", "location", "quality_score",
+        "average_delivery_days", "cost_index", "active",
+    )
     total = F.coalesce("total_orders", F.lit(0))
     delayed = F.coalesce("delayed_orders", F.lit(0))
     rate = F.when(total > 0, exact_round(F.lit(1.0) - delayed / total, 3)).otherwise(0.0)
     days = scaled_round(F.coalesce("mean_days", "average_delivery_days"), 1)
     return (
-        suppliers.join(order_rollup(orders), "supplier_id", "left")
+        base.join(order_rollup(orders), "supplier_id", "left")
         .select(
             "supplier_id", "supplier_name", "category", "location", "quality_score",
             days.alias("average_delivery_days"),

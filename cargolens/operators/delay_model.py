@@ -56,8 +56,11 @@ def train_only_features(
     orders: DataFrame, base_suppliers: DataFrame, inventory: DataFrame
 ) -> DataFrame:
     """As ``delay_features`` after the split, with supplier rates from training orders only."""
-    rows = completed(orders).withColumn("is_delayed", is_delayed())
-    rows = stratified_split(rows)
+    rows = completed(orders).select(
+        "order_id", "supplier_id", "product_id", "order_date", "actual_delivery", "quantity",
+        "priority", "status", is_delayed().alias("is_delayed"),
+    )
+    rows = stratified_split(materialize(rows))  # read by the split, the rates and the result
     rates = scorecard(base_suppliers, rows.filter("split = 'train'"))
     return _with_dimensions(rows, rates, inventory).select(
         "order_id", "supplier_id", "product_id", *NUMERIC, *CATEGORICAL, "is_delayed", "split"

@@ -332,6 +332,25 @@ FROM routed
 
 # --- anomalies --------------------------------------------------------------
 
+# The split of the completed orders, and suppliers that saw its training part only.
+SPLIT = f"""
+hashed AS (SELECT *, {_spread('order_id')} AS place FROM done),
+positions AS (
+  SELECT *, row_number() OVER (PARTITION BY is_delayed ORDER BY place) AS position,
+         count(*) OVER (PARTITION BY is_delayed) AS n
+  FROM hashed),
+cuts AS (
+  SELECT is_delayed, max(place) AS cut FROM positions WHERE position <= n * 8 // 10
+  GROUP BY is_delayed),
+split_orders AS (
+  SELECT hashed.*, CASE WHEN place <= cut THEN 'train' ELSE 'test' END AS split
+  FROM hashed JOIN cuts USING (is_delayed)),
+train_orders AS (SELECT * FROM split_orders WHERE split = 'train')
+"""
+TRAIN_SUPPLIERS = SUPPLIERS.replace(
+    "rollup_counts AS (", SPLIT.strip() + ",\nrollup_counts AS ("
+).replace("FROM done GROUP BY supplier_id", "FROM train_orders GROUP BY supplier_id")
+
 SPIKES = f"""
 months AS (
   SELECT supplier_id, strftime(order_date, '%Y-%m') AS month,
@@ -647,6 +666,11 @@ WITH {SUPPLIERS},
 asked AS (SELECT 'LIER#' || string_split(s_name, '#')[2] AS name FROM supplier),
 {_search('asked')}
 SELECT * FROM searched""",
+    "supplier_matches": """
+SELECT DISTINCT right(a.s_name, 2) AS name, b.s_suppkey AS supplier_id, b.s_name AS supplier_name
+FROM supplier a JOIN supplier b
+  ON contains(lower(b.s_name), lower(right(a.s_name, 2)))
+  OR contains(CAST(b.s_suppkey AS VARCHAR), lower(right(a.s_name, 2)))""",
     "dashboard_kpis": f"""
 WITH {SUPPLIERS}, {INVENTORY},
 kpis AS (
@@ -752,6 +776,12 @@ WITH {ORDERS}, {RECENT}
 SELECT CAST(last_date AS VARCHAR) AS last_date, round(avg_days, 6) AS avg_days, orders
 FROM recent""",
     "answer_questions": ANSWERS,
+    "supplier_months": f"""
+WITH {ORDERS}
+SELECT supplier_id, strftime(order_date, '%Y-%m') AS month,
+       round(avg(CAST(coalesce(delivery_delay, 0) AS DOUBLE)), 6) AS avg_delay,
+       CAST(sum(is_delayed) AS BIGINT) AS delayed_count, count(*) AS order_count
+FROM done GROUP BY supplier_id, month""",
     "delay_spikes": f"WITH {ORDERS}, {SPIKES} SELECT * FROM spikes",
     "spike_headlines": f"""
 WITH {ORDERS}, {SPIKES}
@@ -776,17 +806,14 @@ SELECT order_id, {', '.join(
     for c in NUMERIC)}
 FROM masked""",
     "stratified_split": f"""
-WITH {ORDERS},
-hashed AS (SELECT order_id, is_delayed, {_spread('order_id')} AS place FROM done),
-positions AS (
-  SELECT *, row_number() OVER (PARTITION BY is_delayed ORDER BY place) AS position,
-         count(*) OVER (PARTITION BY is_delayed) AS n
-  FROM hashed),
-cuts AS (
-  SELECT is_delayed, max(place) AS cut FROM positions WHERE position <= n * 8 // 10
-  GROUP BY is_delayed)
-SELECT order_id, is_delayed, CASE WHEN place <= cut THEN 'train' ELSE 'test' END AS split
-FROM hashed JOIN cuts USING (is_delayed)""",
+WITH {ORDERS}, {SPLIT} SELECT order_id, is_delayed, split FROM split_orders""",
+    "train_only_features": f"""
+WITH {TRAIN_SUPPLIERS}, {INVENTORY}
+SELECT order_id, o.supplier_id, o.product_id, on_time_rate, average_delivery_days, quality_score,
+       risk_score, quantity, CAST(month(order_date) AS INTEGER) AS order_month,
+       inventory.category, priority, is_delayed, split
+FROM split_orders o LEFT JOIN suppliers ON o.supplier_id = suppliers.supplier_id
+LEFT JOIN inventory ON o.product_id = inventory.product_id""",
     "rule_metrics": f"""
 WITH {RULE}
 SELECT {_exact('accuracy', 4)} AS accuracy, {_exact('p1', 4)} AS precision,

@@ -14,7 +14,7 @@ from cargolens.operators import (
 )
 from cargolens.session import materialize
 from cargolens.sources.star_schema import (
-    read_table, supplier_names, supply_inventory, supply_orders, supply_suppliers,
+    base_suppliers, read_table, supplier_names, supply_inventory, supply_orders, supply_suppliers,
 )
 from cargolens.sources.text_tables import (
     all_documents, analytic_questions, document_chunks, labelled_questions, markdown_documents,
@@ -106,6 +106,13 @@ def supplier_search(spark, sf):
     return questions.supplier_search(names, supply_suppliers(spark, sf))
 
 
+def supplier_matches(spark, sf):
+    # The last two digits of each name: short texts that several suppliers hold.
+    names = read_table(spark, sf, "supplier").select(F.right("s_name", F.lit(2)).alias("name"))
+    found = questions.matching_suppliers(names, supplier_names(spark, sf))
+    return found.select("name", "supplier_id", "supplier_name")
+
+
 # --- dashboard --------------------------------------------------------------
 
 
@@ -224,6 +231,10 @@ def answer_questions(spark, sf):
 # --- anomalies --------------------------------------------------------------
 
 
+def supplier_months(spark, sf):
+    return _rounded(anomalies.supplier_months(_completed(spark, sf)), "avg_delay")
+
+
 def delay_spikes(spark, sf):
     return anomalies.delay_spikes(_completed(spark, sf), supplier_names(spark, sf))
 
@@ -306,6 +317,13 @@ def stratified_split(spark, sf):
     return delay_model.stratified_split(rows)
 
 
+def train_only_features(spark, sf):
+    return delay_model.train_only_features(
+        _completed(spark, sf, with_priority=True), base_suppliers(spark, sf),
+        supply_inventory(spark, sf),
+    )
+
+
 def delay_model_scores(spark, sf):
     return _predictions(spark, sf).select(
         "order_id", "is_delayed", "probability_delayed", "prediction"
@@ -521,6 +539,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "order_filter": order_filter,
     "order_list": order_list,
     "supplier_search": supplier_search,
+    "supplier_matches": supplier_matches,
     "dashboard_kpis": dashboard_kpis,
     "risk_distribution": risk_distribution,
     "status_breakdown": status_breakdown,
@@ -542,6 +561,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "above_delay_threshold": above_delay_threshold,
     "recent_delivery_time": recent_delivery_time,
     "answer_questions": answer_questions,
+    "supplier_months": supplier_months,
     "delay_spikes": delay_spikes,
     "spike_headlines": spike_headlines,
     "quantity_outliers": quantity_outliers,
@@ -552,6 +572,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "delay_features": delay_features,
     "median_impute": median_impute,
     "stratified_split": stratified_split,
+    "train_only_features": train_only_features,
     "delay_model_scores": delay_model_scores,
     "delay_metrics": delay_metrics,
     "confusion_matrix": confusion_matrix,

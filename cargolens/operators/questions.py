@@ -63,7 +63,7 @@ def route_questions(questions: DataFrame) -> DataFrame:
     return questions.withColumns(
         {
             "intent": intent,
-            "number": _first_match(F.col("question"), NUMBER_PATTERN).try_cast("int"),
+            "number": _first_match(F.col("question"), NUMBER_PATTERN).try_cast("bigint"),
             "name": F.coalesce(
                 _first_match(F.col("question"), CODE_PATTERN),
                 _first_match(F.col("question"), NAME_PATTERN),
@@ -304,7 +304,7 @@ def answer_questions(
     suppliers = materialize(suppliers)  # one row per supplier, read by most answers
     is_count = F.col("intent") == "suppliers_above_delay_threshold"
     is_lookup = F.col("intent") == "supplier_lookup"
-    number = F.coalesce("number", F.lit(DEFAULT_THRESHOLD)).cast("bigint")
+    number = F.coalesce("number", F.lit(DEFAULT_THRESHOLD).cast("bigint"))
     routed = route_questions(questions).withColumns(
         {"threshold": F.when(is_count, number), "name": F.when(is_lookup, F.col("name"))}
     )

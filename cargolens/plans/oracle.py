@@ -253,7 +253,7 @@ routed AS (
   SELECT qid, question,
     CASE {' '.join(f"WHEN regexp_matches(lower(question), {_quote(pattern)}) THEN '{intent}'"
                    for intent, pattern in INTENT_PATTERNS)} END AS intent,
-    TRY_CAST(nullif(regexp_extract(question, {_quote(NUMBER_PATTERN)}, 1), '') AS INTEGER)
+    TRY_CAST(nullif(regexp_extract(question, {_quote(NUMBER_PATTERN)}, 1), '') AS BIGINT)
       AS number,
     coalesce(nullif(regexp_extract(question, {_quote(CODE_PATTERN)}, 1), ''),
              nullif(regexp_extract(question, {_quote(NAME_PATTERN)}, 1), '')) AS name

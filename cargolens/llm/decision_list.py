@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -140,7 +141,8 @@ def learn_rules(
     """Rules that reject, in the order they were learned.
 
     ``rows`` has the double columns ``names``, ``reject`` (boolean) and ``part`` (true for the
-    pruning third). Cuts are quantiles of all rows and of the rejected ones. A rule is kept if
+    pruning third). Cuts lie half-way between neighbouring quantiles
+    of all rows and of the rejected ones. A rule is kept if
     it finds at least ``least_rows`` rejected rows of the pruning part and is right there for
     ``least_precision`` of what it finds; the first that is not ends the list. Rows with a null
     label or feature are left out; no rows, or only one label, give no rules.
@@ -152,7 +154,8 @@ def learn_rules(
         *(F.percentile_approx(F.when(F.col("reject"), F.col(c)), shares, 1000).alias(f"{c}_bad")
           for c in names),
     ).first()
-    cuts = {c: sorted({*(found[f"{c}_all"] or []), *(found[f"{c}_bad"] or [])}) for c in names}
+    values = {c: sorted({*(found[f"{c}_all"] or []), *(found[f"{c}_bad"] or [])}) for c in names}
+    cuts = {c: [(x + y) / 2 for x, y in pairwise(v)] for c, v in values.items()}
     if not any(cuts.values()):
         return []
 

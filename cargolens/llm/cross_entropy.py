@@ -6,11 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cargolens.llm.exact_dedup import lower_ascii
-from cargolens.llm.storage import process_value
+from cargolens.llm.shingles import word_hashes
 
 # The shared vocabulary: words and word pairs by hash. Its size bounds the models that go to the
 # tasks, whatever the corpus: about 1.3 million slots, two counts each.
@@ -19,23 +17,11 @@ PAIR_BITS = 20
 SLOTS = (1 << WORD_BITS) + (1 << PAIR_BITS)
 PAIR_WEIGHT = 0.7  # of the pair model, the rest goes to the word model
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MOST_WORDS = 500_000
 
 
-class _Hashes(dict):
-    """Words to 64-bit hashes, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < _MOST_WORDS:
-            self[word] = value
-        return value
-
-
-def _slots(text: bytes | None, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+def _slots(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """The slots of a text's words, and of each pair of a word and the one before it."""
-    words = lower_ascii(text).split() if text else []
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text)
     pairs = (h[:-1] * _ODD + (h[1:] ^ (h[:-1] >> np.uint64(29)))) * _ODD
     word_slots = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     pair_slots = (pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int64) + (1 << WORD_BITS)
@@ -52,11 +38,10 @@ def ngram_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``slot, n``: words and word pairs of all texts. A task sends one row per slot at most."""
 
     def counted(batches):
-        hashes = process_value("word_hashes", _Hashes)
         found = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
             for text in _texts(batch, 0):
-                for slots in _slots(text, hashes):
+                for slots in _slots(text):
                     np.add.at(found, slots, 1)
         slots = np.flatnonzero(found)
         for part in np.array_split(slots, max(1, len(slots) // 100_000)):
@@ -109,11 +94,10 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
     names = ["doc_id", "n_words", "loss_target", "loss_background", "difference"]
 
     def scored(batches):
-        hashes = process_value("word_hashes", _Hashes)
         for batch in batches:
             counts, losses = [], ([], [])
             for text in _texts(batch, 1):
-                words, pairs = _slots(text, hashes)
+                words, pairs = _slots(text)
                 counts.append(len(words))
                 for (model, total), out in zip(shared.value, losses, strict=True):
                     out.append(_losses(model, total, words, pairs) if len(words) else None)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cargolens.llm import (
-    bpe_automaton, cross_entropy, decision_list, exact_dedup, packing, token_rollup, url_rules,
+    bpe_automaton, chat_links, cross_entropy, decision_list, exact_dedup, fuzzy_lines, jaccard_join, packing,
+    token_rollup, url_rules,
 )
 from cargolens.llm.storage import scratch, written
 
@@ -13,17 +14,55 @@ URL_RULES = """VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
     ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
     AS rules(host, path, verdict)"""
 
+ANSWER_SCHEMA = {
+    "type": "object", "required": ["prompt", "turn"], "additionalProperties": False,
+    "properties": {"prompt": {"type": "string", "minLength": 1},
+                   "turn": {"type": "integer", "minimum": 0}},
+}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tool_calls(spark, sf):
+    """All conversations as tool traffic: a user's turn calls, the assistant's turn answers.
+
+    Each call waits for the call two turns before; other roles stay texts.
+    """
+    turn, text = F.col("turn"), F.col("text")
+    number = F.concat(F.lit("call-"), turn.cast("string"))
+    before = F.when(turn >= 2, F.array(F.concat(F.lit("call-"), (turn - 2).cast("string"))))
+    call = F.to_json(F.struct(
+        number.alias("id"), F.lit("answer").alias("name"),
+        F.struct(text.alias("prompt"), turn.alias("turn")).alias("arguments"),
+        before.alias("after"),
+    ))
+    asked = F.concat(F.lit(chat_links.OPEN), call, F.lit(chat_links.CLOSE))
+    answer = F.to_json(F.struct(
+        F.concat(F.lit("call-"), (turn - 1).cast("string")).alias("tool_call_id"),
+        text.alias("content"),
+    ))
+    is_user, is_assistant = F.col("role") == "user", F.col("role") == "assistant"
+    messages = _table(spark, sf, "conversations").select(
+        "conv_id", "turn",
+        F.when(is_user, "assistant").when(is_assistant, "tool").otherwise(F.col("role"))
+        .alias("role"),
+        F.when(is_user, asked).when(is_assistant, answer).otherwise(text).alias("text"),
+    )
+    return chat_links.link_tool_calls(messages, {"answer": ANSWER_SCHEMA})
+
+
 def op2_redirect_rules(spark, sf):
     pages = _table(spark, sf, "pages")
     rules = spark.sql(f"SELECT * FROM {URL_RULES}")
     return url_rules.judge_urls(pages, rules, url_rules.page_links(pages))
 
 
+def op3_jaccard_join(spark, sf):
+    return jaccard_join.similar_groups(_table(spark, sf, "documents"))
+
+
 def op4_exact_dedup(spark, sf):
     return exact_dedup.exact_duplicates(_table(spark, sf, "documents"), keep="largest")
 
@@ -42,6 +81,12 @@ def op6_decision_list(spark, sf):
     )
 
 
+def op7_fuzzy_lines(spark, sf):
+    documents = _table(spark, sf, "documents")
+    found = fuzzy_lines.drop_fuzzy_lines(documents.select("doc_id", "text"))
+    return found.withColumnRenamed("_llm_removed", "n_removed")
+
+
 def op8_token_rollup(spark, sf):
     """Inserts of all documents, a revision of all, deletes of later copies, and a batch again."""
     counts = written(token_rollup.count_tokens(_table(spark, sf, "documents")), "counts")
@@ -77,10 +122,13 @@ def op10_bpe_automaton(spark, sf):
 
 
 QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_redirect_rules": op2_redirect_rules,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_decision_list": op6_decision_list,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_token_rollup": op8_token_rollup,
     "op9_cross_entropy": op9_cross_entropy,
     "op10_bpe_automaton": op10_bpe_automaton,

@@ -46,12 +46,16 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
     """Hint a broadcast if a written table of narrow rows, counted first, has at most ``rows``.
 
-    Beyond that Spark joins by a shuffle and splits skewed partitions.
+    ``array`` names a column of numbers, ten of which weigh as much as a row. Beyond the bound
+    Spark joins by a shuffle and splits skewed partitions.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    if array is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    weight = df.agg(F.count("*") + F.coalesce(F.sum(F.size(array)), F.lit(0)) / 10).first()[0]
+    return F.broadcast(df) if weight <= rows else df
 
 
 def process_value(name: str, make: Callable[[], object]) -> object:

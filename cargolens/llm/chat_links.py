@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cargolens.llm.storage import written
+from cargolens.llm.storage import process_value, written
 
 OPEN, CLOSE = "<tool_call>", "</tool_call>"
 TYPES = {
@@ -18,7 +18,7 @@ TYPES = {
 }
 ITEM = ("turn long, position int, kind string, call_id string, name string, valid boolean, "
         "error string, after array<string>, json string")
-_SURROGATE = re.compile("[\ud800-\udfff]")
+SURROGATE = "[\ud800-\udfff]"
 
 
 class Malformed(ValueError):
@@ -36,7 +36,8 @@ def _no_constant(name):
     raise Malformed(name)
 
 
-_DECODER = json.JSONDecoder(object_pairs_hook=_unique, parse_constant=_no_constant)
+def _decoder() -> json.JSONDecoder:
+    return json.JSONDecoder(object_pairs_hook=_unique, parse_constant=_no_constant)
 
 
 def _plain(value):
@@ -55,7 +56,7 @@ def _plain(value):
 def canonical(value) -> str:
     """JSON with sorted keys and no spaces; characters are not escaped unless JSON asks for it."""
     text = json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    if _SURROGATE.search(text):
+    if re.search(SURROGATE, text):
         raise Malformed("lone surrogate")
     return text
 
@@ -65,7 +66,7 @@ def parse(text: str, at: int = 0):
     try:
         while text[at : at + 1].isspace():
             at += 1
-        return _DECODER.raw_decode(text, at)
+        return process_value("json_decoder", _decoder).raw_decode(text, at)
     except (ValueError, RecursionError) as error:
         raise Malformed(str(error)) from None
 

@@ -29,6 +29,7 @@ from cargolens.llm.storage import small, written
 THRESHOLD = 75  # percent
 SUBSET = 2  # shingles of a subset
 LEADERS = 2  # first entries of a list that all others are paired with
+ROUNDS = 2  # of pairing open entries of long lists with one more entry each
 SCAN_COST = 2.0  # of an entry in an inverted list, against one for a subset
 WINDOW_SHINGLES = 4_000_000  # shingles a task counts at a time,
 WINDOW_REPEATS = 8  # and sends on if they are repeated so often
@@ -181,14 +182,11 @@ def boundary_by_cost(sizes: dict[int, int], percent: int) -> int:
     subsets = sets * prefix * (prefix - 1) / 2
     entries = sets * SCAN_COST * (n - overlap + 1)
     best, cost = 1, entries.sum()
-    for k, size in enumerate(n):
-        bound = int(size) + 1
-        low = np.searchsorted(n, least_overlap(bound, percent))
-        now = subsets[: k + 1].sum() + entries[min(low, k + 1) :].sum()
+    for bound in range(2, 65):  # subsets of larger sets always cost more than their entries
+        low, high = np.searchsorted(n, [least_overlap(bound, percent), bound])
+        now = subsets[:high].sum() + entries[low:].sum()
         if now < cost:
             best, cost = bound, now
-        elif subsets[k] > 64 * cost:
-            break
     return best
 
 
@@ -376,8 +374,8 @@ def _sets(rows: DataFrame, classes: DataFrame, asked: DataFrame, moved: set[int]
     )
 
 
-def _rest_of_lists(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a long list."""
+def _open_entries(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """Entries of long lists that hold classes of several components, with their component."""
     entries = written(
         lists.join(groups, lists["a"] == groups["node"], "left").select(
             "sig", F.col("a").alias("class"), "n", "rest",
@@ -389,20 +387,32 @@ def _rest_of_lists(lists: DataFrame, groups: DataFrame, percent: int) -> DataFra
         entries.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"))
         .filter("x <> y").select("sig")
     )
-    open_entries = written(entries.join(mixed, "sig"), "open")
-    other = open_entries.toDF("sig", "b", "n_b", "rest_b", "component_b")
+    return written(entries.join(mixed, "sig"), "open")
+
+
+def _across(entries: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of possible partners of different components that share a list."""
+    other = others.toDF("sig", "b", "n_b", "rest_b", "component_b")
     sizes = F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent
     places = (F.least("rest", "rest_b") + 1) * (100 + percent) >= (
         F.col("n") + F.col("n_b")
     ) * percent
     return (
-        open_entries.join(other, "sig")
-        .filter((F.col("component") < F.col("component_b")) & sizes & places)
+        entries.join(other, "sig")
+        .filter((F.col("component") > F.col("component_b")) & sizes & places)
         .select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b"))
         .distinct()
     )
 
 
+def _first_entries(entries: DataFrame) -> DataFrame:
+    """Of each list one entry of its smallest component."""
+    columns = ["class", "n", "rest", "component"]
+    first = F.min(F.struct("component", "class", "n", "rest")).alias("e")
+    found = entries.groupBy("sig").agg(first)
+    return written(found.select("sig", *(f"e.{c}" for c in columns)), "first")
+
+
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                    percent: int = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per row of ``docs``.
@@ -456,11 +466,20 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = compared(near)
     groups = connected_components(links)
     lists = scanned.filter("b IS NULL").select("sig", "a", "n", "rest")
-    more = written(_rest_of_lists(lists, groups, percent), "rest")
-    if not more.isEmpty():
-        near = written(_near(more.join(near, ["a", "b"], "left_anti"), classes, percent), "near")
-        links = links.union(compared(near))
-        groups = connected_components(links)
+    compared_pairs = near
+    for step in range(ROUNDS + 1):
+        entries = _open_entries(lists, groups)
+        if entries.isEmpty():
+            break
+        # First again with one entry of each list, which joins most of what belongs together;
+        # in the last step all that is still open.
+        others = entries if step == ROUNDS else _first_entries(entries)
+        pairs = _across(entries, others, percent).join(compared_pairs, ["a", "b"], "left_anti")
+        near = written(_near(pairs, classes, percent), "near")
+        if not near.isEmpty():
+            compared_pairs = compared_pairs.union(near)
+            links = links.union(compared(near))
+            groups = connected_components(links)
     groups = written(groups, "groups")
     labelled = written(
         members.join(groups, members["class"] == groups["node"], "left").select(

@@ -12,8 +12,8 @@ LOW_STOCK, STOCK_OK = "LOW STOCK", "OK"
 
 
 def completed(orders: DataFrame) -> DataFrame:
-    """Orders whose outcome is known."""
-    return orders.filter(F.col("status") != IN_TRANSIT)
+    """Orders that are not in transit; those without a status are among them."""
+    return orders.filter(~F.col("status").eqNullSafe(IN_TRANSIT))
 
 
 def is_delayed() -> Column:

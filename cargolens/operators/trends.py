@@ -63,9 +63,10 @@ def halves_by_count(
     Orders of one day follow one another by a hash of the order id. A supplier may
     hold a third of all orders, so its orders are never ranked in one task: they are
     counted by day, then, for the day the half ends in, by hash bucket, then, for the
-    bucket the half ends in, by hash. Every window runs over such counts only.
+    bucket the half ends in, by hash. Every window runs over such counts only. Orders without
+    a supplier are left out.
     """
-    rows = completed(orders).select(
+    rows = completed(orders).filter("supplier_id IS NOT NULL").select(
         "supplier_id", "order_id", "order_date",
         F.when(F.col("status") == ON_TIME, 1).otherwise(0).alias("on_time"),
     )

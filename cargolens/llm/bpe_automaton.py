@@ -42,7 +42,9 @@ class MergeAutomaton:
         self.longest = max(map(len, self.token), default=0)
 
     def _add(self, gadget: int, u: int, v: int, merged: int) -> None:
-        # A token that its own bytes do not lead to has no arcs.
+        # A token that its own bytes do not lead to has no arcs, nor has one made of such.
+        if not all(self.label[part] in self.token for part in (u, v)):
+            return
         if self._has_arc(u, v, gadget - 1) and self.label[merged] not in self.token:
             self.birth[merged], self.left[merged], self.right[merged] = gadget, u, v
             self.token[self.label[merged]] = merged

@@ -100,9 +100,14 @@ def _profiles(rows: DataFrame) -> DataFrame:
     names = ["doc_id", "n", "class", "check", "sketch", "shingle", "repeats"]
 
     def frequent(window):
-        found, counts = np.unique(np.concatenate(window), return_counts=True)
-        often = counts >= WINDOW_REPEATS
-        return found[often].view(np.int64), counts[often]
+        # Sorted in place, with no copies: tasks hold little else.
+        hashes = np.concatenate(window)
+        window.clear()
+        hashes.sort()
+        ahead = WINDOW_REPEATS - 1
+        found = np.unique(hashes[:-ahead][hashes[:-ahead] == hashes[ahead:]])
+        ends = (np.searchsorted(hashes, found, side) for side in ("right", "left"))
+        return found.view(np.int64), np.subtract(*ends)
 
     def run(batches):
         window, held, seen, id_kind = [], 0, set(), None

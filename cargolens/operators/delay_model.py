@@ -30,6 +30,10 @@ TRAIN_SHARE = 0.8
 DELAYED_FROM = 0.5
 # ----------------------------------------------------------------------------
 
+FIT_ROWS = 50_000  # labelled rows that trees grow on
+ROWS_PER_PART = 4096  # of them in a partition
+DRAWS = 1 << 20  # steps of the share that is drawn
+
 
 def _with_dimensions(orders: DataFrame, suppliers: DataFrame, inventory: DataFrame) -> DataFrame:
     rates = suppliers.select(
@@ -278,24 +282,34 @@ class TrainedDelayModel:
     test: DataFrame
 
 
-def train(features: DataFrame, trees: int = TREES, seed: int = SEED) -> TrainedDelayModel:
-    """Split, impute and fit. Frames with a ``split`` column keep their split."""
+def train(
+    features: DataFrame, trees: int = TREES, seed: int = SEED, fit_rows: int = FIT_ROWS
+) -> TrainedDelayModel:
+    """Split, impute and fit. Frames with a ``split`` column keep their split.
+
+    Trees grow on all training rows or, where there are more than ``fit_rows``, on about that
+    many, drawn by a hash of the row. Medians, split and evaluation are over all rows.
+    """
     # Read by the split, the medians, the fit and the evaluation.
     ready = materialize(features)
     if "split" not in ready.columns:
         ready = stratified_split(ready)
     medians = feature_medians(ready)
     imputed = impute(ready, medians)
-    # Each stage reads the training rows. Bagging goes by partition and position, so both
-    # follow from the rows: with as many partitions and the same seed the model is the same.
-    cores = ready.sparkSession.sparkContext.defaultParallelism
+    chosen = imputed.filter("split = 'train'")
+    n_train = chosen.count()
+    if n_train > fit_rows:
+        row = F.xxhash64(F.lit(seed), "order_id", "supplier_id", "product_id", "quantity")
+        chosen = chosen.filter(F.pmod(row, F.lit(DRAWS)) < DRAWS * fit_rows // n_train)
+    # Each stage reads these rows. Bagging goes by partition and position, so both follow from
+    # the rows alone: the same rows and seed give the same model on any number of cores.
     part = (
-        imputed.filter("split = 'train'")
-        .repartition(max(cores, imputed.rdd.getNumPartitions()), "order_id")
-        .sortWithinPartitions("order_id", "supplier_id", "product_id", "quantity")
+        chosen.repartition(-(-min(n_train, fit_rows) // ROWS_PER_PART) or 1, "order_id")
+        .sortWithinPartitions(
+            "order_id", "supplier_id", "product_id", *NUMERIC, *CATEGORICAL, "is_delayed"
+        )
         .persist()
     )
-    n_train = part.count()
     model = fit(part, trees, seed)
     part.unpersist()
     return TrainedDelayModel(model, medians, n_train, imputed.filter("split = 'test'"))

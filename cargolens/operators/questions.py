@@ -47,6 +47,7 @@ NO_NAME_TEXT = "Please specify a supplier name or ID."
 # ----------------------------------------------------------------------------
 
 VALUES_PER_RUN = 1024
+MOST = 1 << 62  # larger numbers count as this one, which no count reaches
 GRAM_SIZES = (1, 2, 4, 8)  # runs of letters that lead from a search text to suppliers
 
 
@@ -54,6 +55,14 @@ def _first_match(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
+def _bounded_number(digits: Column) -> Column:
+    """Digits as a number of at most ``MOST``; null for none."""
+    return F.when(
+        digits.isNotNull(),
+        F.least(F.coalesce(digits.try_cast("bigint"), F.lit(MOST)), F.lit(MOST)),
+    )
+
+
 def route_questions(questions: DataFrame) -> DataFrame:
     """Add ``intent`` (null if none fits), ``number`` and ``name`` to each question."""
     text = F.lower("question")
@@ -63,7 +72,7 @@ def route_questions(questions: DataFrame) -> DataFrame:
     return questions.withColumns(
         {
             "intent": intent,
-            "number": _first_match(F.col("question"), NUMBER_PATTERN).try_cast("bigint"),
+            "number": _bounded_number(_first_match(F.col("question"), NUMBER_PATTERN)),
             "name": F.coalesce(
                 _first_match(F.col("question"), CODE_PATTERN),
                 _first_match(F.col("question"), NAME_PATTERN),
@@ -315,9 +324,11 @@ def answer_questions(
     ).select("name", F.col("text").alias("lookup_text"))
     general = _general_answers(suppliers, orders, inventory)
 
+    digits = F.ltrim(_first_match(F.col("question"), NUMBER_PATTERN), F.lit("0"))
+    asked = F.when(F.col("threshold") < MOST, F.col("threshold").cast("string")).otherwise(digits)
     count_text = F.concat(
         F.lit("Found "), F.col("above").cast("string"), F.lit(" supplier(s) with more than "),
-        F.col("threshold").cast("string"), F.lit(" delayed orders."),
+        asked, F.lit(" delayed orders."),
     )
     answered = routed.join(F.broadcast(general), "intent", "left")  # four rows
     # Many questions may ask for the same threshold or name, or for none.

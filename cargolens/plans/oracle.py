@@ -18,7 +18,8 @@ from cargolens.operators.instructions import (
     RISK_WORDINGS, SUMMARY_WORDINGS, SYSTEM_PROMPT, TREND_WORDINGS,
 )
 from cargolens.operators.questions import (
-    CODE_PATTERN, INTENT_PATTERNS, NAME_PATTERN, NO_NAME_TEXT, NUMBER_PATTERN, UNROUTED_TEXT,
+    CODE_PATTERN, INTENT_PATTERNS, MOST, NAME_PATTERN, NO_NAME_TEXT, NUMBER_PATTERN,
+    UNROUTED_TEXT,
 )
 from cargolens.operators.scorecard import (
     NO_RISK_PHRASE, NO_RISK_SENTENCE, RECOMMENDATIONS,
@@ -253,8 +254,9 @@ routed AS (
   SELECT qid, question,
     CASE {' '.join(f"WHEN regexp_matches(lower(question), {_quote(pattern)}) THEN '{intent}'"
                    for intent, pattern in INTENT_PATTERNS)} END AS intent,
-    TRY_CAST(nullif(regexp_extract(question, {_quote(NUMBER_PATTERN)}, 1), '') AS BIGINT)
-      AS number,
+    nullif(regexp_extract(question, {_quote(NUMBER_PATTERN)}, 1), '') AS digits,
+    CASE WHEN digits IS NOT NULL
+      THEN least(coalesce(TRY_CAST(digits AS BIGINT), {MOST}), {MOST}) END AS number,
     coalesce(nullif(regexp_extract(question, {_quote(CODE_PATTERN)}, 1), ''),
              nullif(regexp_extract(question, {_quote(NAME_PATTERN)}, 1), '')) AS name
   FROM questions)
@@ -315,7 +317,9 @@ SELECT qid, intent, CASE
     || 'x), meaning it is closest to running low on average across its products.' FROM lowest)
   WHEN intent = 'suppliers_above_delay_threshold' THEN 'Found '
     || (SELECT count(*) FROM suppliers WHERE delayed_orders > coalesce(number, 20))
-    || ' supplier(s) with more than ' || coalesce(number, 20) || ' delayed orders.'
+    || ' supplier(s) with more than '
+    || CASE WHEN number = {MOST} THEN ltrim(digits, '0') ELSE CAST(coalesce(number, 20) AS VARCHAR) END
+    || ' delayed orders.'
   WHEN intent = 'average_delivery_time_period' THEN (SELECT
     'The average delivery time over the last 30 days of order data (ending ' || last_date
     || ') was ' || {_tenth('avg_days')} || ' days, based on ' || orders || ' completed orders.'
@@ -759,7 +763,7 @@ FROM trend""",
 WITH {ORDERS}, {DECLINE}
 SELECT supplier_id, {_rounded('delay_rate_first_half', 'delay_rate_second_half', 'decline')}
 FROM (SELECT * FROM declines ORDER BY declines.decline DESC, supplier_id LIMIT 10)""",
-    "route_questions": f"WITH {QUESTIONS} SELECT * FROM routed",
+    "route_questions": f"WITH {QUESTIONS} SELECT * EXCLUDE (digits) FROM routed",
     "most_delayed": f"""
 WITH {SUPPLIERS}
 SELECT supplier_id, supplier_name, delayed_orders, total_orders, on_time_rate FROM suppliers
@@ -890,7 +894,7 @@ WITH scaled AS (
   FROM embeddings),
 pairs AS (
   SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v), 9) AS score
-  FROM scaled a JOIN scaled b ON a.vec_id <> b.vec_id),
+  FROM scaled a JOIN scaled b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
   FROM pairs WHERE score >= 0.2)

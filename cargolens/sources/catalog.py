@@ -22,6 +22,10 @@ INVENTORY = (
 )
 SCHEMAS = {"suppliers": SUPPLIERS, "orders": ORDERS, "inventory": INVENTORY}
 
+# Quotes inside of fields are doubled and fields may hold line ends, so a file is read by one
+# task; large tables are folders of files, or Parquet.
+CSV = {"header": True, "escape": '"'}
+
 
 def load_table(spark: SparkSession, root: str, name: str, fmt: str = "csv") -> DataFrame:
     """Read one of the known tables from ``root``; any other name is refused."""
@@ -30,7 +34,7 @@ def load_table(spark: SparkSession, root: str, name: str, fmt: str = "csv") -> D
     path = f"{root}/{name}.{fmt}"
     reader = spark.read
     if fmt == "csv":
-        reader = reader.schema(SCHEMAS[name]).option("header", True)
+        reader = reader.schema(SCHEMAS[name]).options(**CSV, multiLine=True)
     try:
         table = reader.format(fmt).load(path)
     except AnalysisException as error:
@@ -64,6 +68,8 @@ def write_table(table: DataFrame, root: str, name: str, fmt: str = "csv") -> str
     path = f"{root}/{name}.{fmt}"
     writer = table.write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(
+            **CSV, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
     writer.format(fmt).save(path)
     return path

@@ -62,6 +62,18 @@ def test_model_learns_and_reports(trained):
     assert sum(r.importance for r in importance) == pytest.approx(1.0, abs=0.01)
 
 
+def test_same_model_however_rows_are_dealt(features, monkeypatch):
+    monkeypatch.setattr(delay_model, "ROWS_PER_PART", 100)
+
+    def scores(parts):
+        found = delay_model.train(features.repartition(parts), trees=10, fit_rows=400)
+        rows = delay_model.score(found.model, found.test).select("order_id", "probability_delayed")
+        return found.n_train, sorted(rows.collect())
+
+    first = scores(2)
+    assert first == scores(11) and first[0] + len(first[1]) == 800
+
+
 def test_report_arithmetic(spark):
     """Counts and averages of a published evaluation."""
     cells = {(0, 0): 525, (0, 1): 147, (1, 0): 58, (1, 1): 60}
@@ -114,7 +126,7 @@ def test_rates_from_training_orders_only(spark):
 def test_table_files(spark, tmp_path):
     root = str(tmp_path)
     stock = spark.createDataFrame(
-        [("P1", "bolt, long", "Metals", 5, 10, 20, 2.5)], catalog.INVENTORY
+        [("P1", ' bolt, 2"\nlong', "Metals", 5, 10, 20, 2.5)], catalog.INVENTORY
     )
     orders = spark.createDataFrame(
         [("O1", "S1", "P1", "2024-01-05", 3, "High", "2024-01-09", "2024-01-10", "1", "Delayed"),
@@ -143,14 +155,16 @@ def test_documents_and_questions(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("ignored")
     (tmp_path / "asked.json").write_text(
         '[{"question": "Why?", "expected_doc": "Late Policy", "answerable": true},'
-        ' {"question": "Who?", "expected_doc": null, "answerable": false}]'
+        ' {"question": "plumless", "expected_doc": null, "answerable": false},'
+        ' {"question": "buckeroo", "expected_doc": null, "answerable": false}]'
     )
     found = documents.load_documents(spark, str(tmp_path)).collect()
     assert [(r.doc, r.text) for r in found] == [("Late Policy", "# Late\n\n## One\nbody é\n")]
     asked = documents.load_questions(spark, str(tmp_path / "asked.json")).collect()
     assert {(r.question, r.expected_doc, r.answerable) for r in asked} == {
-        ("Why?", "Late Policy", True), ("Who?", None, False)
+        ("Why?", "Late Policy", True), ("plumless", None, False), ("buckeroo", None, False)
     }
+    assert len({r.qid for r in asked}) == 3  # two of them share a 32-bit checksum
 
 
 def test_report_and_records(spark, tmp_path):

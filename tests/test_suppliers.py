@@ -145,6 +145,8 @@ ASKED = {
     11: ("tell me about it", "supplier_lookup"),
     12: ("What's the weather today?", None),
     13: ("Show me suppliers with more than 10 delayed orders.", "suppliers_above_delay_threshold"),
+    14: (f"Who has more than 0{10**20} delayed orders?", "suppliers_above_delay_threshold"),
+    15: (f"Who has more than {2**63 - 1} delayed orders?", "suppliers_above_delay_threshold"),
 }
 
 
@@ -164,6 +166,8 @@ def test_questions(spark, suppliers, orders, stock):
     assert rows[3].text == "Found 1 supplier(s) with more than 9 delayed orders."
     assert rows[4].text == "Found 0 supplier(s) with more than 20 delayed orders."
     assert rows[13].text == "Found 0 supplier(s) with more than 10 delayed orders."
+    assert rows[14].text == f"Found 0 supplier(s) with more than {10**20} delayed orders."
+    assert rows[15].text == f"Found 0 supplier(s) with more than {2**63 - 1} delayed orders."
     # Days 9 to 39 of the history, both suppliers: 31 orders of 4 and 31 of 20 days.
     assert "was 12.0 days, based on 62 completed orders" in rows[5].text
     assert "performance: its delay rate increased by" in rows[6].text

@@ -188,13 +188,39 @@ def _same(left: DataFrame, right: DataFrame, **names: str) -> Column:
     return found
 
 
+def _chain_ends(links: DataFrame) -> DataFrame:
+    """``conv, id, end, hops``: where chains of calls that wait for one other each lead.
+
+    Every round doubles the hops of all links. Those that still lead to a link after as many
+    rounds as their number has binary digits go round in circles and are left out.
+    """
+    links = written(links, "hops")
+    for _ in range(links.count().bit_length() + 1):
+        onward = links.toDF("c", "i", "next", "more")
+        joined = links.join(onward, _same(links, onward, conv="c", end="i"), "left")
+        moved = written(
+            joined.select(
+                "conv", "id", F.coalesce("next", "end").alias("end"),
+                (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
+                F.col("i").isNotNull().alias("moved"),
+            ),
+            "hops",
+        )
+        if moved.filter("moved").isEmpty():
+            return links
+        links = moved.drop("moved")
+    starts = links.select(F.col("conv").alias("c"), F.col("id").alias("i"))
+    return written(links.join(starts, _same(links, starts, conv="c", end="i"), "left_anti"), "hops")
+
+
 def dependency_depths(calls: DataFrame) -> DataFrame:
     """``conv, id, depth`` of calls: 0 for those that wait for none, else one more than the
     deepest they wait for. Calls in or behind a cycle are left out.
 
     ``calls`` has ``conv, id, after``, one row per call. Identifiers that name no call of the
-    conversation are ignored. Every round settles the calls whose last dependency was settled
-    before; there are as many rounds as the longest chain has calls, and each reads only what is
+    conversation are ignored. Chains of calls that wait for one other each are first shortened
+    to one link, in as many rounds as their length has binary digits. Then every round settles
+    the calls of several dependencies whose last one was settled before, and reads only what is
     still open.
     """
     waits = calls.select("conv", "id", F.explode("after").alias("dep"))
@@ -203,20 +229,39 @@ def dependency_depths(calls: DataFrame) -> DataFrame:
         waits.join(known, _same(waits, known, conv="c", dep="i")).select("conv", "id", "dep"),
         "waits",
     )
-    ends = edges.select(F.col("conv").alias("c"), F.col("id").alias("i")).distinct()
-    depth = written(
-        calls.join(ends, _same(calls, ends, conv="c", id="i"), "left_anti")
-        .select("conv", "id", F.lit(0).alias("depth")),
+    waiting = written(
+        edges.groupBy(F.col("conv").alias("c"), F.col("id").alias("i"))
+        .agg(F.count("*").alias("n"), F.min("dep").alias("end")),
+        "waiting",
+    )
+    settled = written(
+        calls.join(waiting, _same(calls, waiting, conv="c", id="i"), "left_anti")
+        .select("conv", "id", F.lit(0).cast("long").alias("depth")),
         "depth",
     )
-    settled = depth
+    chains = _chain_ends(
+        waiting.filter("n = 1").select(
+            F.col("c").alias("conv"), F.col("i").alias("id"), "end",
+            F.lit(1).cast("long").alias("hops"),
+        )
+    )
+    several = waiting.filter("n > 1").select("c", "i")
+    edges = edges.join(several, _same(edges, several, conv="c", id="i"), "left_semi")
+    via = chains.toDF("c", "i", "end", "hops")
+    edges = written(
+        edges.join(via, _same(edges, via, conv="c", dep="i"), "left").select(
+            "conv", "id", F.coalesce("end", "dep").alias("dep"),
+            (F.coalesce("hops", F.lit(0)) + 1).alias("hops"),
+        ),
+        "waits",
+    )
     while not edges.isEmpty():
         done = settled.toDF("c", "i", "depth")
         state = edges.join(done, _same(edges, done, conv="c", dep="i"), "left")
         ready = written(
             state.groupBy("conv", "id").agg(
                 F.count("*").alias("all"), F.count("depth").alias("known"),
-                (F.max("depth") + 1).alias("depth"),
+                F.max(F.col("depth") + F.col("hops")).alias("depth"),
             ).filter("all = known").select("conv", "id", "depth"),
             "ready",
         )
@@ -225,7 +270,12 @@ def dependency_depths(calls: DataFrame) -> DataFrame:
         gone = ready.toDF("c", "i", "d")
         edges = written(edges.join(gone, _same(edges, gone, conv="c", id="i"), "left_anti"), "waits")
         settled = written(settled.union(ready), "depth")
-    return settled
+    ends = settled.toDF("c", "i", "depth")
+    linked = chains.join(ends, _same(chains, ends, conv="c", end="i")).select(
+        "conv", "id", (F.col("depth") + F.col("hops")).alias("depth")
+    )
+    found = settled.union(linked).withColumn("depth", F.col("depth").cast("int"))
+    return written(found, "depth")
 
 
 def link_tool_calls(messages: DataFrame, schemas: dict, conv_column: str = "conv_id",

@@ -102,6 +102,24 @@ def test_tool_calls(spark):
     assert chat_links.link_tool_calls(df.limit(0), {}).count() == 0
 
 
+def test_depths_of_chains_joins_and_cycles(spark):
+    rng = np.random.default_rng(6)
+    after = {k: [k - 1] if k else [] for k in range(150)}
+    for k in range(150, 220):
+        after[k] = sorted({int(x) for x in rng.integers(0, k, rng.integers(0, 4))})
+    after |= {300: [301], 301: [300], 302: [301], 303: [302, 5], 304: [304], 305: [999]}
+    depth = {}
+    for k in sorted(k for k in after if k < 300):
+        depth[k] = 1 + max((depth[d] for d in after[k]), default=-1)
+    depth[305] = 0
+    rows = [(c, str(k), [str(d) for d in v]) for c in (None, 1) for k, v in after.items()]
+    calls = spark.createDataFrame(rows, "conv long, id string, after array<string>")
+    found = chat_links.dependency_depths(calls).collect()
+    assert {(r["conv"], int(r["id"])): r["depth"] for r in found} == {
+        (c, k): d for c in (None, 1) for k, d in depth.items()}
+    assert len(found) == 2 * len(depth)
+
+
 # --- 2 ------------------------------------------------------------------------
 
 

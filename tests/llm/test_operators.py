@@ -329,11 +329,12 @@ def test_rules_find_junk_and_keep_clean_documents(spark):
 
 def test_simhash_is_the_majority(spark):
     rng = np.random.default_rng(4)
-    rows = [([int(x) for x in rng.integers(-(2**63), 2**63 - 1, n)],) for n in (1, 2, 62, 63, 64, 65, 400, 20_000)]
-    df = spark.createDataFrame(rows, "h array<long>").select("h", fuzzy_lines.simhash(F.col("h")).alias("s"))
+    rows = [([int(x) for x in rng.integers(-(2**63), 2**63 - 1, n)],) for n in (0, 1, 2, 126, 127, 128, 400, 20_000)]
+    rows += [([-1 - k for k in range(n)],) for n in (127, 128, 254, 16_383, 16_384)]  # high bits all set
+    df = fuzzy_lines.with_simhash(spark.createDataFrame(rows, "h array<long>"), "h")
     for row in df.collect():
         bits = [2 * sum((x >> b) & 1 for x in row["h"]) > len(row["h"]) for b in range(64)]
-        assert row["s"] % 2**64 == sum(1 << b for b in range(64) if bits[b])
+        assert row["simhash"] % 2**64 == sum(1 << b for b in range(64) if bits[b])
 
 
 def test_fuzzy_lines(spark):
@@ -348,9 +349,11 @@ def test_fuzzy_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line_no", F.lit("clash"))
     got = {r["doc_id"]: r["text"] for r in fuzzy_lines.drop_fuzzy_lines(df).collect()}
     same = spark.createDataFrame([(line, near)], "x string, y string")
-    hashes = [F.transform(F.split(c, " "), lambda w: F.xxhash64(w)) for c in ("x", "y")]
-    keys = [fuzzy_lines.block_keys(fuzzy_lines.simhash(h)) for h in hashes]
-    meets = same.select(F.arrays_overlap(*keys)).first()[0]
+    for c in ("x", "y"):
+        hashes = F.transform(F.split(c, " "), lambda w: F.xxhash64(w))
+        same = fuzzy_lines.with_simhash(same.withColumn("hashes", hashes)).drop("hashes")
+        same = same.withColumn(c, fuzzy_lines.block_keys(F.col("simhash"))).drop("simhash")
+    meets = same.select(F.arrays_overlap("x", "y")).first()[0]
     assert got == {
         1: rows[0][1], 2: "short\nquite another line with words of its own",
         3: "" if meets else near, 4: None, 5: "", 6: "end", None: "short\nshort", 7: rows[7][1],

@@ -361,6 +361,68 @@ def test_fuzzy_lines(spark):
     assert fuzzy_lines.drop_fuzzy_lines(df.limit(0)).count() == 0
 
 
+def edits(a, b, most):
+    """Edit distance up to ``most``, else more, by diagonals."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        low, high = max(1, i - most), min(len(b), i + most)
+        last, row[low - 1] = row[low - 1], i if low == 1 else most + 1
+        for j in range(low, high + 1):
+            last, row[j] = row[j], min(last + (x != b[j - 1]), row[j - 1] + 1, row[j] + 1)
+        if high < len(b):
+            row[high + 1] = most + 1
+    return row[len(b)]
+
+
+def brute_lines(lines):
+    """The lines that stay of one to a document, by all pairs."""
+    root = list(range(len(lines)))
+    for b, y in enumerate(lines):
+        for a in range(b):
+            most = max(len(lines[a]), len(y)) // 10
+            if abs(len(lines[a]) - len(y)) > most:
+                continue
+            i, j = a, b
+            while root[i] != i:
+                i = root[i]
+            while root[j] != j:
+                j = root[j]
+            if i != j and edits(lines[a], y, most) <= most:
+                root[max(i, j)] = min(i, j)
+    return [k for k in range(len(lines)) if root[k] == k]
+
+
+def varied(rng, kind, line):
+    words = line.split()
+    if kind == "word":  # one word exchanged for one as long
+        k = rng.integers(len(words))
+        words[k] = "".join(rng.choice(list("qxz"), min(len(words[k]), len(line) // 10)))
+        return " ".join(words)
+    letters = list(line)  # up to a twentieth or a tenth of the letters, anywhere
+    for _ in range(max(1, len(line) // (20 if kind == "letters" else 10))):
+        k = rng.integers(1, len(letters) - 1)
+        if letters[k] != " ":
+            letters[k : k + 1] = [[], ["q"], ["z", letters[k]]][rng.integers(3)]
+    return "".join(letters)
+
+
+def kept_lines(spark, lines):
+    found = by_id(fuzzy_lines.drop_fuzzy_lines(frame(spark, lines)))
+    return [k for k in range(len(lines)) if found[k]["text"]]
+
+
+def test_near_lines_by_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    known = ["".join(rng.choice(list("aehinorst"), rng.integers(2, 9))) for _ in range(400)]
+    lines = []
+    for n in [5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 50] * 12:
+        lines.append(" ".join(rng.choice(known, n)))
+        lines.append(varied(rng, "word", lines[-1]))
+        if len(lines[-2]) <= fuzzy_lines.SHORT:
+            lines += [varied(rng, "tenth", lines[-2]) for _ in range(3)]
+    assert kept_lines(spark, lines) == brute_lines(lines)
+
+
 def test_edit_similarity_with_cuts(spark):
     base = "abcdefghij" * 30
     pairs = [(base, base), (base, base[:150] + "X" * 30 + base[180:]), (base, base[:150] + "X" * 31 + base[181:]),

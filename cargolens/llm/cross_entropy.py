@@ -6,26 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cargolens.llm.shingles import word_hashes
+from cargolens.llm.storage import small, written
 
-# The shared vocabulary: words and word pairs by hash. Its size bounds the models that go to the
-# tasks, whatever the corpus: about 1.3 million slots, two counts each.
-WORD_BITS = 18
-PAIR_BITS = 20
-SLOTS = (1 << WORD_BITS) + (1 << PAIR_BITS)
+WORD_BITS = 18  # smoothing spreads over at least 2^18 words, more if the texts hold more
 PAIR_WEIGHT = 0.7  # of the pair model, the rest goes to the word model
+HEAD_PAIRS = 100_000  # of the most frequent pairs, whose losses go to all tasks
+AT_ONCE = 1_000_000  # words that a task holds before it hands counts on
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _slots(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """The slots of a text's words, and of each pair of a word and the one before it."""
-    h = word_hashes(text)
-    pairs = (h[:-1] * _ODD + (h[1:] ^ (h[:-1] >> np.uint64(29)))) * _ODD
-    word_slots = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    pair_slots = (pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int64) + (1 << WORD_BITS)
-    return word_slots, pair_slots
+def _pairs(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit keys of a text's words with the one before, that one's hash (0: none), their own."""
+    words = word_hashes(text)
+    before = np.concatenate([np.zeros(1, np.uint64), words])[: len(words)]
+    return (before * _ODD + (words ^ (before >> np.uint64(29)))) * _ODD, before, words
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
@@ -34,81 +31,169 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
         yield raw.to_pybytes() if raw is not None else None
 
 
-def ngram_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``slot, n``: words and word pairs of all texts. A task sends one row per slot at most."""
+def pair_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """``pair, before, word, n``: the words of all texts with the one before, counted in parts."""
+
+    def summed(held):
+        pair, before, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        pair, first, group = np.unique(pair, return_index=True, return_inverse=True)
+        n = np.bincount(group, n, len(pair)).astype(np.int64)
+        return pair, before[first], word[first], n
 
     def counted(batches):
-        found = np.zeros(SLOTS, dtype=np.int64)
+        held, size = [], 0
         for batch in batches:
             for text in _texts(batch, 0):
-                for slots in _slots(text):
-                    np.add.at(found, slots, 1)
-        slots = np.flatnonzero(found)
-        for part in np.array_split(slots, max(1, len(slots) // 100_000)):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), pa.array(found[part])], ["slot", "n"]
-            )
+                pair, before, word = _pairs(text)
+                held.append((pair, before, word, np.ones(len(pair))))
+                size += len(pair)
+                if size >= AT_ONCE:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size >= AT_ONCE // 2:
+                        yield from sent(held.pop())
+                        size = 0
+        if held:
+            yield from sent(summed(held))
+
+    def sent(columns):
+        for at in range(0, len(columns[0]), 100_000):
+            part = [pa.array(c[at : at + 100_000].view(np.int64)) for c in columns]
+            yield pa.RecordBatch.from_arrays(part, ["pair", "before", "word", "n"])
+
+    return docs.select(F.col(text_column).alias("text")).mapInArrow(
+        counted, "pair long, before long, word long, n long"
+    )
 
-    tasks = docs.select(F.col(text_column).alias("text")).mapInArrow(counted, "slot int, n long")
-    return tasks.groupBy("slot").agg(F.sum("n").alias("n"))
 
+def _loss(n: str, words: str, before: str, total: int, vocabulary: int) -> Column:
+    """-log p(word | word before), the first word by the word model alone."""
+    once = (F.coalesce(F.col(words), F.lit(0)) + 1.0) / F.lit(float(total + vocabulary))
+    follows = PAIR_WEIGHT * F.col(n) / F.col(before) + (1.0 - PAIR_WEIGHT) * once
+    return -F.log(F.when(F.col(before) > 0, follows).otherwise(once))
 
-def _model(counts: DataFrame) -> np.ndarray:
-    """The counts as an array over the vocabulary: ``SLOTS`` numbers at most reach the driver."""
-    table, model = counts.toArrow(), np.zeros(SLOTS, dtype=np.float32)
-    model[table["slot"].to_numpy()] = table["n"].to_numpy()
-    return model
 
+def pair_losses(docs: DataFrame, target: DataFrame, text_column: str = "text") -> DataFrame:
+    """``pair, n, loss_target, loss_background`` of all pairs of ``docs``, a written table."""
+    def of(frame, n):
+        counts = pair_counts(frame, text_column)
+        return counts.select("pair", "before", "word", *(
+            (F.col("n") if c == n else F.lit(0).cast("long")).alias(c) for c in ("t", "b")
+        ))
 
-def _losses(model: np.ndarray, total: float, words: np.ndarray, pairs: np.ndarray) -> float:
-    """Mean of -log p(word | word before), the first word by the word model alone."""
-    once = (model[words].astype(np.float64) + 1.0) / (total + (1 << WORD_BITS))
-    before = model[words[:-1]].astype(np.float64)
-    seen = before > 0
-    follows = np.divide(np.minimum(model[pairs], before), before, out=np.zeros(len(pairs)),
-                        where=seen)
-    weight = np.where(seen, PAIR_WEIGHT, 0.0)
-    once[1:] = weight * follows + (1.0 - weight) * once[1:]
-    return float(-np.log(once).mean())
+    pairs = written(
+        of(target, "t").union(of(docs, "b")).groupBy("pair").agg(
+            F.min("before").alias("before"), F.min("word").alias("word"),
+            F.sum("t").alias("t"), F.sum("b").alias("b"),
+        ),
+        "pairs",
+    )
+    words = written(
+        pairs.groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "words"
+    )
+    total = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count("*").alias("n")).first()
+    vocabulary = max(1 << WORD_BITS, total["n"])
+    known = small(words)
+    rows = pairs.filter("b > 0").join(known.toDF("word", "word_t", "word_b"), "word", "left")
+    rows = rows.join(known.toDF("before", "before_t", "before_b"), "before", "left")
+    losses = [
+        _loss(c, f"word_{c}", f"before_{c}", total[c] or 0, vocabulary).alias(name)
+        for c, name in (("t", "loss_target"), ("b", "loss_background"))
+    ]
+    return written(rows.select("pair", F.col("b").alias("n"), *losses), "losses")
+
+
+def _least_of_head(losses: DataFrame) -> int:
+    """The least count, a power of two, that at most ``HEAD_PAIRS`` pairs reach."""
+    sizes = losses.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()
+    at, pairs = max((r["power"] for r in sizes), default=0) + 1, 0
+    for row in sorted(sizes, key=lambda r: -r["power"]):
+        pairs += row["count"]
+        if pairs > HEAD_PAIRS:
+            break
+        at = row["power"]
+    return 1 << at
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str = "doc_id",
                              text_column: str = "text") -> DataFrame:
     """``doc_id, n_words, loss_target, loss_background, difference`` of every whole text.
 
-    Two interpolated models of words and word pairs share one hashed vocabulary, one smoothing
-    and one weight. The background model counts all texts of ``docs``, the target model all
-    texts of ``target``. Losses are nats per word after lower-casing A to Z; a low difference
-    marks a text that is more like the target than like the corpus.
+    Two interpolated models of all words and word pairs, counted by 64-bit hashes, share one
+    smoothing and one weight. The background model counts all texts of ``docs``, the target
+    model all texts of ``target``. Losses are nats per word after lower-casing A to Z; a low
+    difference marks a text that is more like the target than like the corpus.
+
+    A pair's losses are computed once and summed per document: those of the most frequent pairs
+    where the text is read, all others by a join on the pair.
 
     Null, empty and wordless texts have no words and null losses. With an empty target all its
     words are equally likely. Repeated rows and null ids are scored each; other columns are
     ignored.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    models = [_model(ngram_counts(frame, text_column)) for frame in (target, docs)]
+    losses = pair_losses(docs, target, text_column)
+    least = _least_of_head(losses)
+    found = losses.filter(F.col("n") >= least).drop("n").toArrow().sort_by("pair")
     shared = docs.sparkSession.sparkContext.broadcast(
-        [(m, float(m[: 1 << WORD_BITS].sum(dtype=np.float64))) for m in models]
+        [found[c].to_numpy() for c in ("pair", "loss_target", "loss_background")]
+    )
+    rows = docs.select(
+        F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    names = ["doc_id", "n_words", "loss_target", "loss_background", "difference"]
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    def scored(batches):
+    def entries(batches):
+        """The pairs outside the head of each text, after one entry for those in it."""
+        keys, *values = shared.value
         for batch in batches:
-            counts, losses = [], ([], [])
-            for text in _texts(batch, 1):
-                words, pairs = _slots(text)
-                counts.append(len(words))
-                for (model, total), out in zip(shared.value, losses, strict=True):
-                    out.append(_losses(model, total, words, pairs) if len(words) else None)
-            difference = [None if t is None else t - b for t, b in zip(*losses, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()),
-                 *(pa.array(x, pa.float64()) for x in (*losses, difference))],
-                names,
-            )
-
-    return rows.mapInArrow(
-        scored, f"doc_id {id_type}, n_words long, loss_target double, "
-        "loss_background double, difference double",
+            numbers, held, size = batch.column(2).to_numpy(), [], 0
+            for k, text in enumerate(_texts(batch, 1)):
+                pair, n = np.unique(_pairs(text)[0].view(np.int64), return_counts=True)
+                at = np.searchsorted(keys, pair)
+                hit = np.zeros(len(pair), dtype=bool)
+                hit[at < len(keys)] = keys[at[at < len(keys)]] == pair[at < len(keys)]
+                sums = [float((v[at[hit]] * n[hit]).sum()) for v in values]
+                held.append((k, pair[~hit], n[~hit], int(n[hit].sum()), *sums))
+                size += 1 + len(held[-1][1])
+                if size >= AT_ONCE // 2:
+                    yield sent(batch, numbers, held)
+                    held, size = [], 0
+            if held:
+                yield sent(batch, numbers, held)
+
+    def sent(batch, numbers, held):
+        sizes = np.array([1 + len(h[1]) for h in held])
+        first = np.cumsum(sizes) - sizes
+        at = np.repeat([h[0] for h in held], sizes)
+        pair, n = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        sums, absent = np.zeros((2, len(at))), np.ones(len(at), dtype=bool)
+        rest = np.ones(len(at), dtype=bool)
+        rest[first], absent[first] = False, False
+        pair[rest], n[rest] = (np.concatenate([h[c] for h in held]) for c in (1, 2))
+        # An entry of a text is dealt by its row, as no pair's key.
+        pair[first] = (numbers[at[first]].view(np.uint64) * _ODD).view(np.int64)
+        n[first] = [h[3] for h in held]
+        sums[:, first] = np.array([h[4:] for h in held]).T
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(at)), pa.array(numbers[at]), pa.array(pair),
+             pa.array(n), *(pa.array(x, mask=absent) for x in sums)],
+            ["doc_id", "row", "pair", "n", "t", "b"],
+        )
+
+    dealt = rows.mapInArrow(
+        entries, f"doc_id {id_type}, row long, pair long, n long, t double, b double"
+    )
+    rest = losses.filter(F.col("n") < least).drop("n")
+    sums = dealt.join(rest, "pair", "left").groupBy("row", "doc_id").agg(
+        F.sum("n").alias("n_words"),
+        F.sum(F.coalesce("t", F.col("n") * F.col("loss_target"))).alias("t"),
+        F.sum(F.coalesce("b", F.col("n") * F.col("loss_background"))).alias("b"),
+    )
+    means = [
+        F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).alias(name)
+        for c, name in (("t", "loss_target"), ("b", "loss_background"))
+    ]
+    return sums.select("doc_id", "n_words", *means).withColumn(
+        "difference", F.col("loss_target") - F.col("loss_background")
     )

@@ -475,6 +475,42 @@ def test_in_domain_documents_score_lower(spark):
     assert all(r["loss_target"] == pytest.approx(cross_entropy.WORD_BITS * np.log(2)) for r in empty.collect())
 
 
+def brute_losses(texts, target):
+    lists = [[exact_dedup.lower_ascii((t or "").encode()).split() for t in x] for x in (target, texts)]
+    once = [Counter(w for t in x for w in t) for x in lists]
+    twice = [Counter(p for t in x for p in zip(t, t[1:])) for x in lists]
+    vocabulary = max(1 << cross_entropy.WORD_BITS, len(once[0] | once[1]))
+    totals = [sum(x.values()) for x in once]
+
+    def loss(m, before, word):
+        p = (once[m][word] + 1) / (totals[m] + vocabulary)
+        if before is not None and once[m][before]:
+            weight = cross_entropy.PAIR_WEIGHT
+            p = weight * twice[m][before, word] / once[m][before] + (1 - weight) * p
+        return -np.log(p)
+
+    return [
+        [np.mean([loss(m, *p) for p in zip([None, *t], t)]) if t else None for m in (0, 1)]
+        for t in lists[1]
+    ]
+
+
+@pytest.mark.parametrize("head", [0, 100, 10**6])
+def test_losses_of_many_words_by_brute_force(spark, monkeypatch, head):
+    monkeypatch.setattr(cross_entropy, "HEAD_PAIRS", head)
+    monkeypatch.setattr(cross_entropy, "AT_ONCE", 50_000)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"n{k}" for k in rng.integers(0, 600_000, 20_000)) for _ in range(20)]
+    texts += [" ".join(rng.choice(WORDS, rng.integers(1, 60))) for _ in range(200)]
+    texts += [None, "", " \n", "One", "one one ONE", texts[0]]
+    target = [texts[0], " ".join(f"n{k}" for k in range(1000)), "other words here", None]
+    got = by_id(cross_entropy.cross_entropy_difference(frame(spark, texts), frame(spark, target)))
+    for k, (t, b) in enumerate(brute_losses(texts, target)):
+        found = got[k]["loss_target"], got[k]["loss_background"]
+        assert found == ((None, None) if t is None else pytest.approx((t, b), abs=1e-9)), k
+    assert len(got) == len(texts)
+
+
 # --- 10 -----------------------------------------------------------------------
 
 

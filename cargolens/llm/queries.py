@@ -83,7 +83,7 @@ def op6_decision_list(spark, sf):
 
 def op7_fuzzy_lines(spark, sf):
     documents = _table(spark, sf, "documents")
-    found = fuzzy_lines.drop_fuzzy_lines(documents.select("doc_id", "text"))
+    found = fuzzy_lines.drop_fuzzy_lines(documents.select("doc_id", "text"), least_words=1)
     return found.withColumnRenamed("_llm_removed", "n_removed")
 
 

@@ -406,8 +406,8 @@ def varied(rng, kind, line):
     return "".join(letters)
 
 
-def kept_lines(spark, lines):
-    found = by_id(fuzzy_lines.drop_fuzzy_lines(frame(spark, lines)))
+def kept_lines(spark, lines, **choices):
+    found = by_id(fuzzy_lines.drop_fuzzy_lines(frame(spark, lines), **choices))
     return [k for k in range(len(lines)) if found[k]["text"]]
 
 
@@ -423,6 +423,29 @@ def test_near_lines_by_all_pairs(spark):
     assert kept_lines(spark, lines) == brute_lines(lines)
 
 
+def test_lines_of_few_words_by_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    lines = ["all rights reserved", "all right reserved", "end", "end", "a", "a", "b", "reouha the of heble"] * 3
+    for n in (9, 10, 19, 30, 50, 56, 90, 200):  # without spaces
+        for _ in range(5):
+            lines.append("".join(chr(0x4E00 + k) for k in rng.integers(0, 500, n)))
+            for edits_made in (0, 1, n // 20):
+                letters = list(lines[-1])
+                for k in rng.integers(0, n, edits_made):
+                    letters[k] = "\u4e0d"
+                lines.append("".join(letters))
+    assert kept_lines(spark, lines, least_words=1) == brute_lines(lines)
+    assert kept_lines(spark, ["...", "...", "a\n-\nb", "B"], least_words=1) == [0, 1, 2]
+
+
+def test_query_drops_repeated_short_lines(spark, sf, tmp_path):
+    rows = [(1, "end\nfirst of all"), (2, "End!"), (3, "\u524d\u540e"), (4, "\u524d\u540e")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(QUERIES["op7_fuzzy_lines"](spark, str(tmp_path)))
+    assert {k: (r["text"], r["n_removed"]) for k, r in got.items()} == {
+        1: (rows[0][1], 0), 2: ("", 1), 3: (rows[2][1], 0), 4: ("", 1)}
+
+
 def test_edit_similarity_with_cuts(spark):
     base = "abcdefghij" * 30
     pairs = [(base, base), (base, base[:150] + "X" * 30 + base[180:]), (base, base[:150] + "X" * 31 + base[181:]),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cargolens.llm import (
-    bpe_automaton, chat_links, cross_entropy, decision_list, exact_dedup, fuzzy_lines, jaccard_join, packing,
-    token_rollup, url_rules,
+    bpe_automaton, chat_links, cross_entropy, decision_list, exact_dedup, fuzzy_lines, hard_negatives,
+    jaccard_join, latent_vote, packing, periodic_runs, token_rollup, url_rules,
 )
 from cargolens.llm.storage import scratch, written
 
@@ -121,6 +121,71 @@ def op10_bpe_automaton(spark, sf):
     )
 
 
+def _id_checksum(column: str) -> Column:
+    """The unsigned CRC-32 of a decimal id."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op11_neighbour_vote(spark, sf):
+    """Labels of rows with a remainder of 0 are held out; a null id is not held out."""
+    held_out = F.coalesce(_id_checksum("doc_id") % 5 == 0, F.lit(False))
+    found = latent_vote.neighbour_vote(
+        _table(spark, sf, "documents"), _table(spark, sf, "labels"), learn_from=~held_out
+    )
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op12_hard_negatives(spark, sf):
+    rows = hard_negatives.quantized(_table(spark, sf, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    ))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the documents repeat a stretch of their words to the end.
+
+    Documents without an id or without words stay as they are.
+    """
+    h = _id_checksum("doc_id")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    chosen = docs.withColumn("words", F.when(h % 10 == 0, words)).withColumn("n", F.size("words"))
+    g = F.floor(h / 10)
+    chosen = chosen.withColumn("a", F.when(F.col("n") > 0, g % F.col("n")))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))
+    chosen = chosen.withColumn("p", period)
+    repeated = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1),
+        lambda i: F.get("words", F.when(i < F.col("a"), i)
+                        .otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")),
+    )
+    return chosen.select(
+        "doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text")
+    )
+
+
+def op13_periodic_runs(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(_with_periods(docs))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("order"), r["start"].alias("start"), r["period"].alias("period"),
+    ))), 1)
+    best = found.withColumn("best", F.when(F.size("runs") > 0, longest))
+    length, period = -F.col("best.order"), F.col("best.period")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256)
+        .alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
     "op2_redirect_rules": op2_redirect_rules,
@@ -132,4 +197,7 @@ QUERIES = {
     "op8_token_rollup": op8_token_rollup,
     "op9_cross_entropy": op9_cross_entropy,
     "op10_bpe_automaton": op10_bpe_automaton,
+    "op11_neighbour_vote": op11_neighbour_vote,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
 }

@@ -54,8 +54,9 @@ def tokens(text: Column, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> Colum
     return F.filter(found, lambda token: ~token.isin(list(stop_words)))
 
 
-def with_bigrams(words: Column) -> Column:
+def with_bigrams(words: Column | str) -> Column:
     """The words followed by all pairs of neighbours."""
+    words = F.col(words) if isinstance(words, str) else words
     pair_count = F.greatest(F.size(words) - 1, F.lit(0))
     pairs = F.zip_with(
         F.slice(words, F.lit(1), pair_count),

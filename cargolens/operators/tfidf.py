@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cargolens.functions.text import STOP_WORDS, tokens, with_bigrams
@@ -18,26 +20,36 @@ BACKEND = "tfidf"
 VOCABULARY_SCHEMA = "term string, term_no int, df bigint, idf double"
 
 
-def _terms(
+def _listed(
     texts: DataFrame, key: str, text: str, bigrams: bool, stop_words: Sequence[str]
 ) -> DataFrame:
-    """Every term of every text, with repeats.
-
-    The tokens of a text travel together, by key. That one shuffle also serves every
-    later step that groups by the key.
-    """
-    words = texts.select(key, tokens(F.col(text), stop_words).alias("words")).repartition(key)
-    terms = with_bigrams(F.col("words")) if bigrams else F.col("words")
-    return words.select(key, F.explode(terms).alias("term"))
+    """Every term of every text, with repeats, as one array per row."""
+    words = texts.select(key, tokens(F.col(text), stop_words).alias("words"))
+    return words.select(key, (with_bigrams("words") if bigrams else F.col("words")).alias("terms"))
 
 
 def term_counts(
     texts: DataFrame, key: str, text: str = "text", bigrams: bool = True,
     stop_words: Sequence[str] = tuple(STOP_WORDS),
 ) -> DataFrame:
-    """How often each term occurs in each text."""
-    terms = _terms(texts, key, text, bigrams, stop_words)
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """How often each term occurs in each text: ``key, term, tf``; each row is a text.
+
+    Nothing leaves the row: its terms are sorted, and the lengths of the runs of equal
+    terms are their counts.
+    """
+    term = F.col("terms")
+    ordered = _listed(texts, key, text, bigrams, stop_words).withColumn("terms", F.sort_array(term))
+    places = F.when(F.size(term) > 0, F.sequence(F.lit(0), F.size(term) - 1))
+    first = F.filter(places, lambda i: (i == 0) | (F.get(term, i) != F.get(term, i - 1)))
+    start = F.col("starts")
+    runs = F.transform(
+        start,
+        lambda at, k: F.struct(
+            F.get(term, at).alias("term"),
+            (F.coalesce(F.get(start, k + 1), F.size(term)) - at).cast("long").alias("tf"),
+        ),
+    )
+    return ordered.withColumn("starts", first).select(key, F.inline(runs))
 
 
 @dataclass
@@ -80,28 +92,30 @@ def vectors(
     texts: DataFrame, key: str, vocabulary: Vocabulary, text: str = "text", bigrams: bool = True,
     stop_words: Sequence[str] = tuple(STOP_WORDS),
 ) -> DataFrame:
-    """One row per text with the numbers and unit-length weights of its terms."""
-    known = F.broadcast(vocabulary.frame(texts.sparkSession))  # at most max_features rows
-    found = F.col("found")
-    norm = F.sqrt(F.aggregate("found", F.lit(0.0), lambda total, t: total + t["w"] * t["w"]))
-    # Terms outside the vocabulary go before anything is counted.
-    return (
-        _terms(texts, key, text, bigrams, stop_words)
-        .join(known, "term")
-        .groupBy(key, "term_no", "idf")
-        .agg(F.count("*").alias("tf"))
-        .groupBy(key)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("term_no", (F.col("tf") * F.col("idf")).alias("w")))
-            ).alias("found")
-        )
-        .withColumn("norm", norm)
-        .select(
-            key,
-            F.transform(found, lambda t: t["term_no"]).alias("terms"),
-            F.transform(found, lambda t: t["w"] / F.col("norm")).alias("weights"),
+    """One row per text with the numbers and unit-length weights of its known terms.
+
+    Texts without a known term have no row. Terms are looked up, counted, weighted and
+    brought to unit length in the row, so no text and no token is shuffled.
+    """
+    listed = _listed(texts, key, text, bigrams, stop_words)
+    if not vocabulary.rows:
+        return listed.filter(F.lit(False)).select(
+            key, F.array().cast("array<int>").alias("terms"),
+            F.array().cast("array<double>").alias("weights"),
         )
+    by_number = sorted(vocabulary.rows, key=lambda row: row[1])
+    counted = CountVectorizerModel.from_vocabulary(
+        [row[0] for row in by_number], inputCol="terms", outputCol="counts"
+    )
+    idf = Vectors.dense([row[3] for row in by_number])
+    weighted = ElementwiseProduct(scalingVec=idf, inputCol="counts", outputCol="weighted")
+    unit = Normalizer(inputCol="weighted", outputCol="unit")
+    found = unit.transform(weighted.transform(counted.transform(listed)))
+    # The generator keeps the optimizer from counting anew for each use of the vector.
+    return (
+        found.select(key, F.explode(F.array(F.unwrap_udt("unit"))).alias("unit"))
+        .select(key, F.col("unit.indices").alias("terms"), F.col("unit.values").alias("weights"))
+        .filter(F.size("terms") > 0)
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,20 +29,42 @@ def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> Sp
     return spark
 
 
+#: Folders that stand in for ``spark.checkpoint.dir`` in local sessions, by application.
+_local_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    A local folder is used only by local sessions without that setting, as in tests.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    application = spark.sparkContext.applicationId
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        if application not in _local_folders:
+            _local_folders[application] = tempfile.mkdtemp(prefix="cargolens-tables-")
+        folder = _local_folders[application]
+    return f"{folder.rstrip('/')}/{application}/tables"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that later steps read several times.
 
-    The checkpoint goes to the shared folder the cluster names in
-    ``spark.checkpoint.dir``, so it survives lost executors. A local folder is
-    used only by local sessions without that setting, as in tests.
+    The frame is computed once and written as a Parquet table to the shared folder, so it
+    survives lost executors and its columns stay prunable.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cargolens-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote for this application."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 SMALL_ROWS = 100_000

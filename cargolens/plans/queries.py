@@ -401,11 +401,8 @@ def _hits(spark, sf):
     asked = read_table(spark, sf, "benchmark").select(
         F.col("item_id").alias("question"), "text"
     )
-    found = search.top_matches(
-        tfidf.vectors(asked, "question", vocabulary),
-        vectors,
-        width=len(vocabulary.rows),
-    )
+    inverted = _once(spark, sf, "inverted", lambda: search.InvertedIndex.build(vectors))
+    found = inverted.top_matches(tfidf.vectors(asked, "question", vocabulary))
     return answers.cite(found, passages)
 
 

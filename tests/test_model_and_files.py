@@ -200,7 +200,7 @@ def test_stored_index_gives_the_same_hits(spark, tmp_path):
 
     def hits(chunks, vecs, vocab):
         found = search.top_matches(
-            tfidf.vectors(asked, "question", vocab), vecs, width=len(vocab.rows)
+            tfidf.vectors(asked, "question", vocab), vecs
         )
         return sorted(answers.cite(found, chunks).collect())
 

@@ -120,42 +120,89 @@ def _brute(questions, passages, k, least, skip_self):
     return found
 
 
+def _vectors(spark, rows, key, sparse):
+    made = spark.createDataFrame(rows, f"{key} bigint, weights array<double>")
+    if not sparse:
+        return made.repartition(5)
+    entries = F.filter(
+        F.transform("weights", lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
+        lambda e: e["w"] != 0,
+    )
+    return made.repartition(5).select(
+        key, F.transform(entries, lambda e: e["i"]).alias("terms"),
+        F.transform(entries, lambda e: e["w"]).alias("weights"),
+    )
+
+
+def _found(frame):
+    return {(r.question, r["rank"], r.passage) for r in frame.collect()}
+
+
 @pytest.mark.parametrize("sparse", [False, True])
 @pytest.mark.parametrize("skip_self", [False, True])
-@pytest.mark.parametrize("blocks", [{}, {"shared_entries": 60, "slice_rows": 11}])
-def test_search_is_exact(spark, sparse, skip_self, blocks):
+def test_search_is_exact(spark, sparse, skip_self):
     rng = random.Random(2)
     questions, passages = _unit(rng, 30, 12), _unit(rng, 60, 12)
-
-    def frame(rows, key):
-        made = spark.createDataFrame(rows, f"{key} bigint, weights array<double>")
-        if not sparse:
-            return made.repartition(5)
-        entries = F.filter(
-            F.transform("weights", lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
-            lambda e: e["w"] > 0,
-        )
-        return made.repartition(5).select(
-            key, F.transform(entries, lambda e: e["i"]).alias("terms"),
-            F.transform(entries, lambda e: e["w"]).alias("weights"),
-        )
-
     found = search.top_matches(
-        frame(questions, "question"), frame(passages, "passage"),
-        k=4, min_score=0.3, width=12, skip_self=skip_self, **blocks,
+        _vectors(spark, questions, "question", sparse), _vectors(spark, passages, "passage", sparse),
+        k=4, min_score=0.3, skip_self=skip_self,
     )
-    got = {(r.question, r["rank"], r.passage) for r in found.collect()}
-    assert got == _brute(questions, passages, 4, 0.3, skip_self)
-
-
-@pytest.mark.parametrize("sparse", [False, True])
-def test_search_in_small_steps(spark, monkeypatch, sparse):
-    """Batches and buffers that are cut often change nothing."""
-    for name, value in [
-        ("BATCH_ROWS", 7), ("BATCH_PRODUCTS", 20), ("KEPT_ROWS", 30), ("BLOCK_QUESTIONS", 9)
-    ]:
-        monkeypatch.setattr(search, name, value)
-    test_search_is_exact(spark, sparse, True, {})
+    assert _found(found) == _brute(questions, passages, 4, 0.3, skip_self)
+
+
+@pytest.mark.parametrize("options", [{"share": False, "salt_rows": 7}, {"share": False}, {}])
+def test_many_questions_meet_dealt_postings(spark, options):
+    """Questions too many to share, a term in every passage, and weights below zero."""
+    rng = random.Random(4)
+    questions, passages = _unit(rng, 40, 15), _unit(rng, 120, 15)
+    passages = [(i, [1.5, *v[1:]]) for i, v in passages]
+    passages += [(1000 + i, [-w for w in v]) for i, v in passages[:9]]
+    index = search.InvertedIndex.build(_vectors(spark, passages, "passage", True))
+    found = index.top_matches(_vectors(spark, questions, "question", True), 3, 0.4, **options)
+    assert _found(found) == _brute(questions, passages, 3, 0.4, False)
+    with pytest.raises(ValueError):
+        index.top_matches(_vectors(spark, questions, "question", True), 3, 0)
+
+
+def test_bounds_leave_few_candidates(spark):
+    """Common terms of small weight are no reason to score a passage."""
+    rng = random.Random(5)
+
+    def vector(own):
+        v = np.array([0.05] * 20 + [0.0] * 40)
+        v[20 + own] = 1
+        return (v / np.linalg.norm(v)).tolist()
+
+    passages = [(i, vector(rng.randrange(40))) for i in range(400)]
+    questions = [(i, vector(i)) for i in range(4)]
+    index = search.InvertedIndex.build(_vectors(spark, passages, "passage", True))
+    asked = _vectors(spark, questions, "question", True)
+    same = sum(q[1] == p[1] for q in questions for p in passages)
+    assert index.candidates(asked, 3, 0.2).count() == same < 100
+    assert _found(index.top_matches(asked)) == _brute(questions, passages, 3, 0.2, False)
+
+
+@pytest.mark.parametrize("blocks", [{}, {"shared_entries": 60}])
+def test_clustered_search_skips_cells(spark, blocks):
+    rng = np.random.default_rng(3)
+    centres = np.eye(10)[:8] * 5
+    points = [(i, (centres[i % 8] + rng.normal(0, 0.2, 10)).tolist()) for i in range(800)]
+    points += [(900 + i, points[3][1]) for i in range(20)]  # copies, whose scores tie
+    passages = _vectors(spark, points, "passage", False)
+    table = search.ClusteredVectors.build(passages, cells=16)
+    vectors = np.array([v for _, v in points])
+    cells = {r.passage: r.cell for r in table.rows.collect()}
+    away = [np.linalg.norm(v - table.centres[cells[i]]) for i, v in points]
+    assert len(cells) == len(points)
+    assert all(d <= table.radii[cells[i]] + 1e-9 for (i, _), d in zip(points, away))
+    assert (table.bounds(vectors[:40]).max(axis=1) >= (vectors[:40] @ vectors.T).max(axis=1)).all()
+    questions = points[:40]
+    best = np.sort(vectors[:40] @ vectors.T, axis=1)[:, -5]
+    assert table.visits(vectors[:40], best).mean() < 0.3
+    asked = _vectors(spark, questions, "question", False)
+    found = table.top_matches(asked, 5, 0.3, True, **blocks)
+    assert _found(found) == _brute(questions, points, 5, 0.3, True)
+    assert table.top_matches(asked.limit(0)).count() == 0
 
 
 def test_search_without_passages(spark):

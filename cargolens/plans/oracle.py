@@ -7,6 +7,8 @@ retrieval pairs every question with every passage.
 
 from __future__ import annotations
 
+import math
+
 from cargolens.functions.numbers import HASH_INPUT_RANGE, HASH_MULTIPLIER, HASH_RANGE
 from cargolens.functions.text import SPACE_CLASS, STOP_WORDS, TOKEN_PATTERN, WORD_PATTERN
 from cargolens.operators.answers import (
@@ -17,6 +19,9 @@ from cargolens.operators.instructions import (
     ELEVATED_TEXT, FAMILIES, MONITOR_TEXT, RECOMMEND_WORDINGS, RELIABLE_TEXT, REVIEW_TEXT,
     RISK_WORDINGS, SUMMARY_WORDINGS, SYSTEM_PROMPT, TREND_WORDINGS,
 )
+from cargolens.operators.isolation_forest import (
+    CONTAMINATION, EULER_GAMMA, HALF_STEP, LENGTH_UNITS, MIN_ROWS, SAMPLE, SEED, TREES, mean_path,
+)
 from cargolens.operators.questions import (
     CODE_PATTERN, INTENT_PATTERNS, MOST, NAME_PATTERN, NO_NAME_TEXT, NUMBER_PATTERN,
     UNROUTED_TEXT,
@@ -379,6 +384,86 @@ spikes AS (
 """
 
 
+def _forest(trees: int, sample: int, seed: int) -> str:
+    """Isolation forest over supplier-months: grown by levels, walked by levels."""
+    last = math.ceil(math.log2(sample))
+    parts = [f"""
+forest_months AS MATERIALIZED (
+  SELECT supplier_id, strftime(order_date, '%Y-%m') AS month,
+         avg(CAST(coalesce(delivery_delay, 0) AS DOUBLE)) AS x0,
+         CAST(sum(is_delayed) AS DOUBLE) AS x1, CAST(count(*) AS DOUBLE) AS x2,
+         {_spread(f"{_spread('supplier_id')} + {HALF_STEP} * "
+                  "(any_value(year(order_date)) * 12 + any_value(month(order_date)))")} AS place
+  FROM done GROUP BY supplier_id, month),
+counted AS (SELECT count(*) AS n FROM forest_months),
+drawn AS (
+  SELECT tree, x0, x1, x2,
+         row_number() OVER (PARTITION BY tree ORDER BY (place - (tree * {HASH_MULTIPLIER} + {seed})
+             % {HASH_RANGE} + {HASH_RANGE}) % {HASH_RANGE}, supplier_id, month) AS place
+  FROM forest_months, (SELECT unnest(range({trees})) AS tree)),
+level0 AS MATERIALIZED (
+  SELECT tree, 1::BIGINT AS node, x0, x1, x2 FROM drawn WHERE place <= {sample})"""]
+    for depth in range(last + 1):
+        choice = f"floor(hash * len(varying) / {HASH_RANGE}::DOUBLE)::INTEGER + 1"
+        inner = "coalesce(split < cut.high, false)" if depth < last else "false"
+        parts.append(f"""
+spans{depth} AS (
+  SELECT tree, node, count(*) AS n, ((tree * 1024 + node) * {HASH_MULTIPLIER} + {seed * HALF_STEP})
+         % {HASH_RANGE} AS hash,
+         list_filter([{{'k': 0, 'low': min(x0), 'high': max(x0)}},
+                      {{'k': 1, 'low': min(x1), 'high': max(x1)}},
+                      {{'k': 2, 'low': min(x2), 'high': max(x2)}}],
+                     lambda f: f.high > f.low) AS varying
+  FROM level{depth} GROUP BY tree, node),
+cuts{depth} AS (SELECT tree, node, n, hash, varying[{choice}] AS cut FROM spans{depth}),
+placed{depth} AS (
+  SELECT *, cut.low + (cut.high - cut.low) * ({_spread('hash')} / {HASH_RANGE}::DOUBLE) AS split
+  FROM cuts{depth}),
+nodes{depth} AS MATERIALIZED (
+  SELECT tree, node, CASE WHEN {inner} THEN cut.k ELSE -1 END AS feature, split,
+         CAST(round_even(({depth} + CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1
+           ELSE 2 * (ln(n - 1) + {EULER_GAMMA}) - 2 * (n - 1)::DOUBLE / n END)
+           * {LENGTH_UNITS}, 0) AS BIGINT) AS units
+  FROM placed{depth}),
+level{depth + 1} AS MATERIALIZED (
+  SELECT m.tree, node * 2 + CASE WHEN [x0, x1, x2][feature + 1] > split THEN 1 ELSE 0 END AS node,
+         x0, x1, x2
+  FROM level{depth} m JOIN nodes{depth} USING (tree, node) WHERE feature >= 0)""")
+    nodes = " UNION ALL ".join(f"SELECT * FROM nodes{d}" for d in range(last + 1))
+    parts.append(f"""
+nodes AS MATERIALIZED ({nodes}),
+walk0 AS (
+  SELECT supplier_id, month, x0, x1, x2, tree, 1::BIGINT AS node
+  FROM forest_months, (SELECT unnest(range({trees})) AS tree))""")
+    for depth in range(last):
+        parts.append(f"""
+walk{depth + 1} AS (
+  SELECT supplier_id, month, x0, x1, x2, w.tree, CASE WHEN feature < 0 THEN w.node
+         ELSE w.node * 2 + CASE WHEN [x0, x1, x2][feature + 1] > split THEN 1 ELSE 0 END END AS node
+  FROM walk{depth} w JOIN nodes USING (tree, node))""")
+    norm = mean_path(sample)
+    parts.append(f"""
+paths AS (
+  SELECT supplier_id, month, any_value(x0) AS x0, CAST(sum(units) AS BIGINT) AS units
+  FROM walk{last} JOIN nodes USING (tree, node) GROUP BY supplier_id, month),
+raw_scores AS MATERIALIZED (
+  SELECT *, -pow(2::DOUBLE, -(units / {float(trees * LENGTH_UNITS)}::DOUBLE) / {norm}::DOUBLE)
+           AS iso_raw
+  FROM paths),
+flags AS (
+  SELECT supplier_id, coalesce(s_name, CAST(supplier_id AS VARCHAR)) AS supplier_name, month,
+         {_exact('x0', 1)} AS avg_delay,
+         {_exact('iso_raw - cut', 3)} AS isolation_forest_score,
+         'Isolation Forest Flag (delay pattern)' AS type
+  FROM raw_scores, (SELECT quantile_cont(iso_raw, {CONTAMINATION}) AS cut FROM raw_scores), counted
+  LEFT JOIN supplier ON supplier_id = s_suppkey
+  WHERE n >= {MIN_ROWS} AND iso_raw - cut < 0)""")
+    return ",".join(parts)
+
+
+FOREST = _forest(TREES, SAMPLE, SEED)
+
+
 def _outliers(table: str, group: str, value: str) -> str:
     return f"""
 bounds AS (
@@ -798,6 +883,14 @@ FROM outliers""",
     "value_outliers": f"""
 WITH {_outliers('events', 'user_id', 'value')}
 SELECT event_id, user_id, event_type, value, round(upper_bound, 6) AS upper_bound FROM outliers""",
+    "isolation_forest": f"WITH {ORDERS}, {FOREST} SELECT * FROM flags",
+    "anomaly_agreement": f"""
+WITH {ORDERS}, {SPIKES}, {FOREST}
+SELECT coalesce(s.supplier_id, f.supplier_id) AS supplier_id, coalesce(s.month, f.month) AS month,
+       z_score, isolation_forest_score,
+       CASE WHEN isolation_forest_score IS NULL THEN 'z_score'
+            WHEN z_score IS NULL THEN 'isolation_forest' ELSE 'both' END AS found_by
+FROM spikes s FULL JOIN flags f ON s.supplier_id = f.supplier_id AND s.month = f.month""",
     "delay_features": f"WITH {FEATURES} SELECT * FROM features",
     "median_impute": f"""
 WITH {FEATURES},

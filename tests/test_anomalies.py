@@ -63,11 +63,53 @@ def test_mean_path():
     assert isolation_forest.mean_path(256) == pytest.approx(10.2448, abs=1e-3)
 
 
-def test_tree_separates_points():
-    points = np.array([[0.0, 0, 0], [0, 0, 0], [10, 5, 5]])
-    nodes = isolation_forest.grow_tree(points, [1, 2])
-    leaves = [n for n in nodes if n[1] < 0]
-    assert len(nodes) == 3 and len(leaves) == 2
+def _grown(spark, trees, sample):
+    rows = [(t, *p) for t, points in trees.items() for p in points]
+    frame = spark.createDataFrame(rows, "tree int, x0 double, x1 double, x2 double")
+    nodes: dict = {}
+    for r in isolation_forest.grow_forest(frame, sample).collect():
+        nodes.setdefault(r.tree, {})[r.node] = r
+    return nodes
+
+
+def test_tree_separates_points(spark):
+    points = [(0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (10.0, 5.0, 5.0)]
+    nodes = _grown(spark, {0: points, 1: points[:1], 2: points[:2]}, 3)
+    root = nodes[0][1]
+    assert set(nodes[0]) == {1, 2, 3} and root.feature >= 0 and 0 <= root.split < 10
+    assert (nodes[0][2].units, nodes[0][3].units) == (2_000_000, 1_000_000)  # two rows and one
+    assert [(n.feature, n.units) for n in nodes[1].values()] == [(-1, 0)]
+    assert [(n.feature, n.units) for n in nodes[2].values()] == [(-1, 1_000_000)]
+
+
+def test_levels_part_every_row_once(spark):
+    rng = random.Random(8)
+    trees = {t: [tuple(float(rng.randrange(6)) for _ in range(3)) for _ in range(40)] for t in range(5)}
+    for t, nodes in _grown(spark, trees, 40).items():
+        parts: dict = {1: trees[t]}
+        for number in sorted(nodes):
+            node, rows = nodes[number], parts.pop(number)
+            depth = number.bit_length() - 1
+            if node.feature < 0:
+                assert len(set(rows)) == 1 or depth == 6
+                assert node.units == round((depth + isolation_forest.mean_path(len(rows))) * 1e6)
+                continue
+            left = [r for r in rows if r[node.feature] <= node.split]
+            right = [r for r in rows if r[node.feature] > node.split]
+            assert left and right
+            parts |= {2 * number: left, 2 * number + 1: right}
+        assert not parts
+
+
+def test_samples_follow_the_starts_of_their_trees(spark):
+    rng = random.Random(9)
+    rows = [(k, float(k), 0, 1, rng.choice([7, rng.randrange(1 << 32)])) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "id int, avg_delay double, delayed_count int, order_count int, u bigint")
+    drawn = isolation_forest.draw_samples(frame, F.col("u"), 3000, ["id"], 12, 50, 42).collect()
+    for tree in range(12):
+        start = isolation_forest.tree_start(tree, 42)
+        nearest = sorted(rows, key=lambda r: ((r[4] - start) % (1 << 32), r[0]))[:50]
+        assert {r.x0 for r in drawn if r.tree == tree} == {r[1] for r in nearest}
 
 
 def _months(spark, n, odd):

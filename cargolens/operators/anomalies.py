@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cargolens.functions.numbers import exact_round, scaled_round
 from cargolens.operators.filters import completed, is_delayed, low_stock, lookup
+from cargolens.operators.ordering import with_position
 from cargolens.operators.order_statistics import quantiles
 
 # Fixed values ---------------------------------------------------------------
@@ -146,12 +147,20 @@ def agreement(spikes: DataFrame, flags: DataFrame) -> DataFrame:
 def report_sections(
     spikes: DataFrame, quantities: DataFrame, flags: DataFrame, inventory: DataFrame
 ) -> dict[str, DataFrame]:
-    """The four lists of the anomaly report by name."""
+    """The four lists of the anomaly report by name, each with the ``position`` of its rows.
+
+    Spikes begin with the strongest, flags with the lowest score, quantities follow product
+    and order, products their key; equal scores follow supplier and month.
+    """
+    by_month = ["supplier_id", "month"]
+    low = low_stock(inventory)
     return {
-        "delivery_delay_anomalies": spikes,
-        "order_quantity_anomalies": quantities,
-        "isolation_forest_anomalies": flags,
-        "low_stock_products": low_stock(inventory),
+        "delivery_delay_anomalies": with_position(spikes, [F.desc("z_score"), *by_month]),
+        "order_quantity_anomalies": with_position(quantities, ["product_id", "order_id"]),
+        "isolation_forest_anomalies": with_position(
+            flags, [F.asc("isolation_forest_score"), *by_month]
+        ),
+        "low_stock_products": with_position(low, ["product_id"]),
     }
 
 
@@ -159,8 +168,10 @@ def report_lines(sections: dict[str, DataFrame]) -> DataFrame:
     """All lists as one table of JSON records, so no list is gathered in one place."""
     lines = None
     for name, frame in sections.items():
+        fields = [c for c in frame.columns if c != "position"]
         part = frame.select(
-            F.lit(name).alias("section"), F.to_json(F.struct(*frame.columns)).alias("record")
+            F.lit(name).alias("section"), "position",
+            F.to_json(F.struct(*fields)).alias("record"),
         )
         lines = part if lines is None else lines.unionByName(part)
     return lines

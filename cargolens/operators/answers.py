@@ -81,7 +81,7 @@ def prompt_context(hits: DataFrame) -> DataFrame:
     return ranked_hits(hits).select("qid", F.array_join(blocks, "\n\n").alias("context"))
 
 
-def recall_detail(answers: DataFrame) -> DataFrame:
+def recall_detail(answers: DataFrame, with_question: bool = False) -> DataFrame:
     """For each answerable question, the documents found and whether the right one is there."""
     docs = F.array_sort(F.array_distinct(F.transform("hits", lambda hit: hit["doc"])))
     return (
@@ -89,6 +89,7 @@ def recall_detail(answers: DataFrame) -> DataFrame:
         .withColumn("retrieved_docs", F.coalesce(docs, F.array().cast("array<string>")))
         .select(
             "qid",
+            *(["question"] if with_question else []),
             "expected_doc",
             "retrieved_docs",
             F.array_contains("retrieved_docs", F.col("expected_doc")).alias("hit"),
@@ -154,12 +155,20 @@ def answer_relevance(
 
 def qa_evaluation(questions: DataFrame, hits: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """One row: recall, mean groundedness and relevance, share of correct refusals."""
+    return evaluate(questions, hits, top_k)[0]
+
+
+def evaluate(
+    questions: DataFrame, hits: DataFrame, top_k: int = TOP_K
+) -> tuple[DataFrame, DataFrame]:
+    """The row of measures, and per answerable question what was retrieved for it."""
     answered = materialize(extractive_answers(questions, hits))  # read by each measure
     scored = answered.filter("answerable")
     grounded = groundedness(scored)
     relevant = answer_relevance(scored.filter(F.col("hits").isNotNull()))
-    recall = recall_at_k(recall_detail(answered))
-    return answered.agg(
+    detail = recall_detail(answered, with_question=True)
+    recall = recall_at_k(detail)
+    measures = answered.agg(
         exact_round(
             F.avg(
                 F.when(~F.col("answerable"), (F.col("answer") == NOT_ENOUGH_INFO).cast("int"))
@@ -176,3 +185,4 @@ def qa_evaluation(questions: DataFrame, hits: DataFrame, top_k: int = TOP_K) ->
         "correct_refusal_rate",
         F.lit(GENERATION_BACKEND).alias("generation_backend"),
     )
+    return measures, detail

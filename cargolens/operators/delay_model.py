@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cargolens.functions.numbers import exact_round, spread_key
 from cargolens.operators.filters import completed, is_delayed, lookup
-from cargolens.operators.order_statistics import quantiles, rank_cut
+from cargolens.operators.order_statistics import column_medians, pair_cuts, up_to
 from cargolens.operators.scorecard import scorecard
 from cargolens.session import materialize
 
@@ -72,15 +72,11 @@ def train_only_features(
 
 
 def feature_medians(features: DataFrame) -> dict[str, float]:
-    """The median of each numeric column; six numbers, all found in one run.
+    """The median of each numeric column; six numbers, all found in the same scans.
 
-    Reads the features twice; hand it a materialized frame if they are costly.
+    Reads the features three times; hand it a materialized frame.
     """
-    long = features.select(
-        "order_id", F.posexplode(F.array(*[F.col(c).cast("double") for c in NUMERIC]))
-    ).withColumnRenamed("pos", "feature")
-    found = quantiles(long, ["feature"], "col", {"median": 0.5}, ["order_id"], few_groups=True)
-    return {NUMERIC[row.feature]: row.median for row in found.collect()}
+    return column_medians(features, NUMERIC)
 
 
 def impute(features: DataFrame, medians: dict[str, float]) -> DataFrame:
@@ -94,20 +90,16 @@ def impute(features: DataFrame, medians: dict[str, float]) -> DataFrame:
 
 
 def stratified_split(features: DataFrame, train_share: float = TRAIN_SHARE) -> DataFrame:
-    """Add ``split``: in each class, the ``train_share`` of rows with the lowest order hash.
+    """Add ``split``: in each class, the ⌊train_share · n⌋ rows of the lowest order hash.
 
-    The cut per class is an exact order statistic, so no class is sorted in one task.
-    Rows of one order id fall on one side.
+    Equal hashes are ordered by order id. The cut per class is an exact order statistic, so no
+    class is sorted in one task. Rows of one order id fall on one side.
     """
     hashed = features.withColumn("__place", spread_key(features, "order_id"))
-    cuts = rank_cut(
-        hashed, ["is_delayed"], "__place", train_share, ["order_id"], few_groups=True
-    ).collect()  # one row per class
     in_train = F.lit(False)
-    for row in cuts:
-        in_train = in_train | (
-            (F.col("is_delayed") == row.is_delayed) & (F.col("__place") <= row.cut)
-        )
+    for label, cut in pair_cuts(hashed, "is_delayed", "__place", "order_id", train_share).items():
+        below = up_to(cut, F.col("__place"), F.col("order_id"))
+        in_train = in_train | (F.col("is_delayed").eqNullSafe(F.lit(label)) & below)
     return hashed.withColumn("split", F.when(in_train, "train").otherwise("test")).drop("__place")
 
 

@@ -99,6 +99,28 @@ def order_list(
     )
 
 
+def fits_broadcast(table: DataFrame) -> bool:
+    """Whether Spark, by its own estimate in bytes, will broadcast the table anyway."""
+    most = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= most
+
+
+def frequent_keys(facts: DataFrame, key: str, share: float) -> list:
+    """The keys that hold at least ``share`` of the rows, by a mergeable sketch.
+
+    The sketch keeps 1,000 keys per task and gives no key more rows than it has, less a
+    thousandth of all rows. At most ``1 / share`` keys, so at most a few come back.
+    """
+    kind = facts.schema[key].dataType
+    found = facts.agg(
+        F.count("*").alias("n"),
+        F.expr(f"approx_top_k(`{key}`, 100, 1000)").alias("keys"),
+    ).first()
+    least = max(share * found["n"], 2)
+    return [F.lit(e["item"]).cast(kind) for e in found["keys"] or [] if e["item"] is not None and e["count"] >= least]
+
+
 def lookup(
     facts: DataFrame,
     table: DataFrame,
@@ -109,14 +131,23 @@ def lookup(
 ) -> DataFrame:
     """Join facts to a table with few rows per key, safe for keys that hold most facts.
 
-    The facts of a key are dealt over ``spread`` salts and the table is copied to each
-    salt, so a hot key fills ``spread`` tasks instead of one. The salt is a hash of
-    ``deal_by`` and of the partition a fact comes from: copies of one fact are dealt out
-    too, and a task that runs again deals the same way. A table below the session's
-    broadcast threshold is broadcast by Spark and nothing is shuffled.
+    A table that Spark will broadcast by its size in bytes is joined as it is, and nothing is
+    shuffled. Otherwise a sketch of the facts' keys finds those that would overfill a task: their
+    facts are dealt over ``spread`` salts and only their rows of the table are copied. The
+    salt is a hash of ``deal_by`` and of the partition a fact comes from: copies of one fact are
+    dealt out too, and a task that runs again deals the same way.
     """
+    if fits_broadcast(table):
+        return facts.join(table, key, how)
+    tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = frequent_keys(facts, key, max(1 / tasks, 0.005))
+    if not hot:
+        return facts.join(table, key, how)
     salt = "__salt"
+    is_hot = F.col(key).isin(hot)
     place = F.xxhash64(*deal_by, F.spark_partition_id())
-    dealt = facts.withColumn(salt, F.pmod(place, F.lit(spread)).cast("int"))
-    copied = table.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(spread)])))
-    return dealt.join(copied, [key, salt], how).drop(salt)
+    dealt = facts.withColumn(
+        salt, F.when(is_hot, F.pmod(place, F.lit(spread))).otherwise(0).cast("int")
+    )
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(table.withColumn(salt, F.explode(salts)), [key, salt], how).drop(salt)

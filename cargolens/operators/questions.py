@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cargolens.functions.numbers import hundredth_text, percent_text, tenth_text
+from cargolens.operators.ordering import running_total
 from cargolens.operators.filters import (
     completed, delivery_days, holds, lookup, stock_ratio,
 )
@@ -46,7 +47,6 @@ UNROUTED_TEXT = (
 NO_NAME_TEXT = "Please specify a supplier name or ID."
 # ----------------------------------------------------------------------------
 
-VALUES_PER_RUN = 1024
 MOST = 1 << 62  # larger numbers count as this one, which no count reaches
 GRAM_SIZES = (1, 2, 4, 8)  # runs of letters that lead from a search text to suppliers
 
@@ -217,48 +217,26 @@ def _search(names: DataFrame, suppliers: DataFrame) -> DataFrame:
     )
 
 
-def counts_above(thresholds: DataFrame, suppliers: DataFrame) -> DataFrame:
+def counts_above(thresholds: DataFrame, suppliers: DataFrame, **limits: int) -> DataFrame:
     """How many suppliers have more delayed orders than each threshold.
 
     Thresholds and the histogram of delayed orders are merged by value instead of being
-    paired. Suppliers above are counted inside runs of 1,024 values and over whole runs,
-    so the one window without partitions sees a row per run.
+    paired; the suppliers above a value are a running total from the largest value down.
     """
     steps = suppliers.groupBy(F.col("delayed_orders").alias("value")).agg(
         F.count("*").alias("suppliers")
     )
     asked = thresholds.filter(F.col("threshold").isNotNull()).select(
-        F.col("threshold").alias("value")
+        F.col("threshold").alias("value"), F.lit(0).cast("bigint").alias("suppliers"),
+        F.lit(True).alias("asked"),
     )
     merged = (
-        steps.withColumn("asked", F.lit(False))
-        .unionByName(
-            asked.distinct().select(
-                "value", F.lit(0).cast("bigint").alias("suppliers"), F.lit(True).alias("asked")
-            )
-        )
-        .withColumn("run", F.floor(F.col("value") / VALUES_PER_RUN))
-    )
-    in_run = (
-        Window.partitionBy("run")
-        .orderBy(F.desc("value"))
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    later_runs = Window.orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0)
-    runs = (
-        merged.groupBy("run")
-        .agg(F.sum("suppliers").alias("in_whole_run"))
-        .withColumn("later", F.coalesce(F.sum("in_whole_run").over(later_runs), zero))
-    )
-    return (
-        merged.withColumn("larger", F.coalesce(F.sum("suppliers").over(in_run), zero))
-        .filter("asked")
-        .join(runs, "run")
-        .select(
-            F.col("value").alias("threshold"), (F.col("larger") + F.col("later")).alias("above")
-        )
+        steps.filter(F.col("value").isNotNull()).withColumn("asked", F.lit(False))
+        .unionByName(asked).groupBy("value")
+        .agg(F.sum("suppliers").alias("suppliers"), F.max("asked").alias("asked"))
     )
+    totals = running_total(merged, [F.desc("value")], "suppliers", "above", **limits)
+    return totals.filter("asked").select(F.col("value").alias("threshold"), "above")
 
 
 def _general_answers(

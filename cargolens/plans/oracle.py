@@ -345,14 +345,14 @@ FROM routed
 SPLIT = f"""
 hashed AS (SELECT *, {_spread('order_id')} AS place FROM done),
 positions AS (
-  SELECT *, row_number() OVER (PARTITION BY is_delayed ORDER BY place) AS position,
+  SELECT *, row_number() OVER (PARTITION BY is_delayed ORDER BY place, order_id) AS position,
          count(*) OVER (PARTITION BY is_delayed) AS n
   FROM hashed),
 cuts AS (
-  SELECT is_delayed, max(place) AS cut FROM positions WHERE position <= n * 8 // 10
-  GROUP BY is_delayed),
+  SELECT is_delayed, max((place, order_id)) FILTER (position <= n * 8 // 10) AS cut
+  FROM positions GROUP BY is_delayed),
 split_orders AS (
-  SELECT hashed.*, CASE WHEN place <= cut THEN 'train' ELSE 'test' END AS split
+  SELECT hashed.*, CASE WHEN (place, order_id) <= cut THEN 'train' ELSE 'test' END AS split
   FROM hashed JOIN cuts USING (is_delayed)),
 train_orders AS (SELECT * FROM split_orders WHERE split = 'train')
 """
@@ -464,11 +464,11 @@ flags AS (
 FOREST = _forest(TREES, SAMPLE, SEED)
 
 
-def _outliers(table: str, group: str, value: str) -> str:
+def _outliers(table: str, group: str, value: str, multiplier: float = 3) -> str:
     return f"""
 bounds AS (
   SELECT {group}, quantile_cont({value}, 0.75)
-           + 3 * (quantile_cont({value}, 0.75) - quantile_cont({value}, 0.25)) AS upper_bound
+           + {multiplier}::DOUBLE * (quantile_cont({value}, 0.75) - quantile_cont({value}, 0.25)) AS upper_bound
   FROM {table} GROUP BY {group}
   HAVING count(*) >= 10 AND quantile_cont({value}, 0.75) <> quantile_cont({value}, 0.25)),
 outliers AS (
@@ -720,6 +720,13 @@ def _rounded(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
 
+QUANTITIES = f"""{_outliers('supply_orders', 'product_id', 'quantity', 0.4)},
+quantities AS (
+  SELECT order_id, product_id, supplier_id, quantity,
+         {_exact('upper_bound', 1)} AS upper_bound_iqr, 'Unusual Order Quantity' AS type
+  FROM outliers)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "table_scan": "SELECT * FROM part",
     "doc_titles": r"""
@@ -875,11 +882,7 @@ FROM done GROUP BY supplier_id, month""",
     "spike_headlines": f"""
 WITH {ORDERS}, {SPIKES}
 SELECT * FROM spikes ORDER BY z_score DESC, supplier_id, month LIMIT 15""",
-    "quantity_outliers": f"""
-WITH {ORDERS}, {_outliers('supply_orders', 'product_id', 'quantity')}
-SELECT order_id, product_id, supplier_id, quantity,
-       {_exact('upper_bound', 1)} AS upper_bound_iqr, 'Unusual Order Quantity' AS type
-FROM outliers""",
+    "quantity_outliers": f"WITH {ORDERS}, {QUANTITIES} SELECT * FROM quantities",
     "value_outliers": f"""
 WITH {_outliers('events', 'user_id', 'value')}
 SELECT event_id, user_id, event_type, value, round(upper_bound, 6) AS upper_bound FROM outliers""",
@@ -891,6 +894,22 @@ SELECT coalesce(s.supplier_id, f.supplier_id) AS supplier_id, coalesce(s.month,
        CASE WHEN isolation_forest_score IS NULL THEN 'z_score'
             WHEN z_score IS NULL THEN 'isolation_forest' ELSE 'both' END AS found_by
 FROM spikes s FULL JOIN flags f ON s.supplier_id = f.supplier_id AND s.month = f.month""",
+    "anomaly_report": f"""
+WITH {ORDERS}, {INVENTORY}, {SPIKES}, {QUANTITIES}, {FOREST}
+SELECT 'delivery_delay_anomalies' AS section,
+       row_number() OVER (ORDER BY z_score DESC, supplier_id, month) AS position,
+       to_json(s)::VARCHAR AS record FROM spikes s
+UNION ALL
+SELECT 'order_quantity_anomalies', row_number() OVER (ORDER BY product_id, order_id),
+       to_json(q)::VARCHAR FROM quantities q
+UNION ALL
+SELECT 'isolation_forest_anomalies',
+       row_number() OVER (ORDER BY isolation_forest_score, supplier_id, month),
+       to_json(f)::VARCHAR FROM flags f
+UNION ALL
+SELECT 'low_stock_products', row_number() OVER (ORDER BY product_id), to_json(p)::VARCHAR
+FROM (SELECT product_id, product_name, current_stock, reorder_level FROM inventory
+      WHERE current_stock < reorder_level) p""",
     "delay_features": f"WITH {FEATURES} SELECT * FROM features",
     "median_impute": f"""
 WITH {FEATURES},

@@ -12,13 +12,26 @@ RECORDS = "instruction string, input string, output string"
 
 
 def write_report(sections: dict[str, DataFrame], path: str) -> None:
-    """Each list of the report as JSON lines in a folder of its name."""
+    """Each list of the report as JSON lines in a folder of its name, in files in its order."""
     for name, frame in sections.items():
-        frame.write.mode("overwrite").json(f"{path}/{name}")
+        frame.orderBy("position").write.mode("overwrite").json(f"{path}/{name}")
 
 
 def read_report(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.json(f"{path}/{name}")
+    """A list of the report in its order."""
+    return spark.read.json(f"{path}/{name}").orderBy("position")
+
+
+def write_evaluation(summary: DataFrame, detail: DataFrame, path: str) -> None:
+    """The row of measures, and what was retrieved for each question, in the questions' order."""
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    detail.orderBy("qid").write.mode("overwrite").json(f"{path}/per_question_retrieval")
+
+
+def read_evaluation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The measures and the detail per question as written by ``write_evaluation``."""
+    detail = spark.read.json(f"{path}/per_question_retrieval").orderBy("qid")
+    return spark.read.json(f"{path}/summary"), detail
 
 
 def write_records(records: DataFrame, path: str) -> None:

@@ -168,12 +168,15 @@ def test_documents_and_questions(spark, tmp_path):
 
 
 def test_report_and_records(spark, tmp_path):
-    section = spark.createDataFrame([(1, "a")], "id bigint, name string")
+    section = spark.createDataFrame(
+        [(k, f"n{k}", 50 - k) for k in range(50)], "id bigint, name string, position bigint"
+    ).repartition(5)
     artifacts.write_report({"first": section, "second": section}, str(tmp_path / "report"))
-    assert artifacts.read_report(spark, str(tmp_path / "report"), "second").first().name == "a"
-    lines = anomalies.report_lines({"first": section, "second": section}).collect()
-    assert {(r.section, r.record) for r in lines} == {
-        ("first", '{"id":1,"name":"a"}'), ("second", '{"id":1,"name":"a"}')
+    read = artifacts.read_report(spark, str(tmp_path / "report"), "second").collect()
+    assert [r.name for r in read] == [f"n{49 - k}" for k in range(50)]
+    lines = anomalies.report_lines({"first": section, "second": section.limit(0)}).collect()
+    assert {(r.section, r.position, r.record) for r in lines} == {
+        ("first", 50 - k, f'{{"id":{k},"name":"n{k}"}}') for k in range(50)
     }
     records = instructions.train_split(
         spark.createDataFrame(
@@ -187,6 +190,24 @@ def test_report_and_records(spark, tmp_path):
     assert sizes == {"all": 10, "train": 9, "validation": 1}
 
 
+def test_evaluation_with_detail(spark, tmp_path):
+    asked = spark.createDataFrame(
+        [(2, "late?", "A", True), (1, "stock?", "B", True), (3, "zebra?", None, False)],
+        "qid bigint, question string, expected_doc string, answerable boolean",
+    )
+    hits = spark.createDataFrame(
+        [(1, 1, "A", "s", "stock text", 0.5), (2, 1, "A", "s", "late text", 0.4)],
+        "qid bigint, rank int, doc string, section string, text string, score double",
+    )
+    artifacts.write_evaluation(*answers.evaluate(asked, hits), str(tmp_path))
+    summary, detail = artifacts.read_evaluation(spark, str(tmp_path))
+    row = summary.first()
+    assert (row.retrieval_recall_at_k, row.correct_refusal_rate, row.top_k) == (0.5, 1.0, 3)
+    assert [(r.question, r.expected_doc, r.retrieved_docs, r.hit) for r in detail.collect()] == [
+        ("stock?", "B", ["A"], False), ("late?", "A", ["A"], True),
+    ]
+
+
 def test_stored_index_gives_the_same_hits(spark, tmp_path):
     passages = spark.createDataFrame(
         [(1, "A", "s", "late delivery penalty"), (2, "B", "s", "safety stock level"),

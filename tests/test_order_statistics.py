@@ -7,8 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargolens.operators.anomalies import upper_outliers
-from cargolens.operators.filters import lookup
-from cargolens.operators.order_statistics import quantiles, rank_cut
+from cargolens.operators.filters import fits_broadcast, lookup
+from cargolens.operators.order_statistics import (
+    column_medians, pair_cuts, quantiles, rank_cut, up_to,
+)
+from cargolens.operators.ordering import running_total, with_position
+from cargolens.session import materialize
 
 LARGE = {"accuracy": 300, "small_group": 40}  # brackets come into play from 41 rows
 
@@ -93,3 +97,97 @@ def test_hot_key_fills_many_tasks(shuffling, copies):
     per_task = joined.filter("k = 1").groupBy(F.spark_partition_id()).count().collect()
     assert len(per_task) >= 8
     assert max(r["count"] for r in per_task) < 20_000 / 4
+
+
+def test_unskewed_facts_are_not_copied(shuffling):
+    facts = shuffling.range(20_000, numPartitions=8).select(
+        F.col("id").alias("order_id"), (F.col("id") % 5000).alias("k")
+    )
+    table = facts.select("k").distinct().withColumn("name", F.col("k") * 10)
+    joined = lookup(facts, table, "k")
+    assert "Generate" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.filter("name = k * 10").count() == 20_000
+
+
+def test_only_hot_keys_are_copied(shuffling):
+    facts = shuffling.range(30_000, numPartitions=8).select(
+        F.col("id").alias("order_id"),
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
+    )
+    table = facts.select("k").distinct().withColumn("size", F.length("k"))
+    left = facts.withColumn("k", F.when(F.col("order_id") > 5, F.col("k")))  # some null keys
+    assert lookup(facts, table, "k").filter("size = length(k)").count() == 30_000
+    assert lookup(left, table, "k", "left").count() == 30_000
+    assert lookup(left, table, "k").count() == 29_994
+
+
+def test_bytes_decide_broadcasts(spark):
+    """A few wide rows are not broadcast, many narrow ones are."""
+    facts = spark.range(5000).select(F.col("id").alias("order_id"), (F.col("id") % 50).alias("k"))
+    narrow = spark.range(60_000).select(F.col("id").alias("k"), F.lit(1).alias("x"))
+    wide = materialize(spark.range(50).select(
+        F.col("id").alias("k"), F.expr("concat_ws('', transform(sequence(1, 20000), i -> uuid()))").alias("x")
+    ))
+    assert fits_broadcast(narrow) and not fits_broadcast(wide)
+    assert "BroadcastHashJoin" in lookup(facts, narrow, "k")._jdf.queryExecution().executedPlan().toString()
+    assert lookup(facts, wide, "k").count() == 5000
+
+
+def test_brackets_are_narrowed_and_widened(spark):
+    """Coarse sketches, many ties and a rank that the first bracket misses."""
+    rng = np.random.default_rng(4)
+    groups = {
+        "wide": list(rng.normal(size=20_000) * 1e6),
+        "tied": [3.0] * 9000 + list(rng.normal(size=6000)),
+        "edges": [0.0] * 4000 + [1.0] * 4001,
+    }
+    frame = _rows(spark, groups).repartition(6)
+    found = quantiles(frame, ["g"], "v", {"a": 0.01, "b": 0.5, "c": 1.0}, ["id"], accuracy=60, small_group=25)
+    for row in found.collect():
+        for share, value in ((0.01, row.a), (0.5, row.b), (1.0, row.c)):
+            assert value == pytest.approx(np.quantile(groups[row.g], share), rel=1e-12)
+
+
+def test_ten_million_distinct_values(spark):
+    rows = spark.range(10_000_000).select(
+        F.col("id"), F.lit("g").alias("g"), F.pmod(F.col("id") * 7919, F.lit(10_000_000)).alias("v")
+    )
+    found = quantiles(rows, ["g"], "v", {"q": 0.25}, ["id"], few_groups=True).first()
+    assert (found.n, found.q) == (10_000_000, 2499999.75)
+
+
+@pytest.mark.parametrize("limits", [{}, {"accuracy": 100, "small": 30}])
+def test_medians_of_columns(spark, limits):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=4000), rng.integers(0, 3, 4000)
+    rows = [(float(x), int(y), float(x) if k < 1001 else None, None) for k, (x, y) in enumerate(zip(a, b))]
+    frame = spark.createDataFrame(rows, "a double, b int, c double, d double")
+    found = column_medians(frame, ["a", "b", "c", "d"], **limits)
+    assert found == {"a": pytest.approx(np.median(a)), "b": np.median(b), "c": pytest.approx(np.median(a[:1001])), "d": None}
+    assert column_medians(frame.limit(0), ["a"]) == {"a": None}
+
+
+def test_splits_are_exact_where_hashes_collide(spark):
+    rows = [(k, k % 2, float(min(k, 700))) for k in range(1000)]  # 300 keys on one hash
+    frame = spark.createDataFrame(rows, "id int, g int, place double").repartition(5)
+    cuts = pair_cuts(frame, "g", "place", "id", 0.8, **LARGE)
+    taken = frame.filter(
+        F.when(F.col("g") == 0, up_to(cuts[0], F.col("place"), F.col("id")))
+        .otherwise(up_to(cuts[1], F.col("place"), F.col("id")))
+    )
+    assert {r.g: (r["count"], r.last) for r in taken.groupBy("g").agg(F.count("*").alias("count"), F.max("id").alias("last")).collect()} == {0: (400, 798), 1: (400, 799)}
+    assert pair_cuts(frame, None, "place", "id", 0.8) == {None: (700.0, 799)}
+    assert pair_cuts(frame.limit(1), None, "place", "id", 0.8) == {}
+
+
+@pytest.mark.parametrize("rows_per_range", [7, 1000])
+def test_positions_and_running_totals(spark, rows_per_range):
+    rows = [((k * 37) % 101, k, k % 5) for k in range(300)]
+    frame = spark.createDataFrame(rows, "a int, id int, n int").repartition(6)
+    placed = with_position(frame, [F.desc("a"), "id"], range_rows=rows_per_range)
+    ordered = sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert [(r.a, r.id) for r in sorted(placed.collect(), key=lambda r: r.position)] == [r[:2] for r in ordered]
+    sums = running_total(frame, [F.desc("a"), "id"], "n", "before", range_rows=rows_per_range)
+    before = {r.id: r.before for r in sums.collect()}
+    assert before == {r[1]: sum(x[2] for x in ordered[:k]) for k, r in enumerate(ordered)}
+    assert with_position(frame.limit(0), ["id"]).count() == 0

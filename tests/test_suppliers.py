@@ -191,6 +191,14 @@ def test_counts_above_many_thresholds(spark):
     }
 
 
+def test_counts_above_millions_of_thresholds(spark):
+    thresholds = spark.range(2_000_000).select(F.col("id").alias("threshold"))
+    suppliers = spark.range(1000).select((F.col("id") * 2000).alias("delayed_orders"))
+    found = questions.counts_above(thresholds, suppliers, range_rows=100_000)
+    wrong = F.col("above") != 999 - F.floor(F.col("threshold") / 2000)
+    assert found.agg(F.count("*"), F.count_if(wrong)).first() == (2_000_000, 0)
+
+
 def test_search_of_short_and_missing_names(spark, suppliers):
     unnamed = suppliers.withColumn(
         "supplier_name", F.when(F.col("supplier_id") != "SUP3", F.col("supplier_name"))

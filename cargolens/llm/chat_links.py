@@ -55,7 +55,10 @@ def _plain(value):
 
 def canonical(value) -> str:
     """JSON with sorted keys and no spaces; characters are not escaped unless JSON asks for it."""
-    text = json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    try:
+        text = json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except RecursionError:
+        raise Malformed("nested too deeply") from None
     if re.search(SURROGATE, text):
         raise Malformed("lone surrogate")
     return text
@@ -75,9 +78,9 @@ def problems(value, schema: dict, path: str = "$") -> Iterator[str]:
     """Where a value breaks a schema: types, enums, required and further properties, bounds."""
     kind = schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {
-        "number": number, "integer": number and float(value).is_integer() if number else False,
-    }.get(kind, isinstance(value, TYPES.get(kind, object)))
+    # Integers stay integers: one of hundreds of digits fits no float.
+    whole = number and (isinstance(value, int) or value.is_integer())
+    fits = {"number": number, "integer": whole}.get(kind, isinstance(value, TYPES.get(kind, object)))
     if not fits:
         yield f"{path}: not {kind}"
         return

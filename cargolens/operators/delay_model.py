@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cargolens.functions.numbers import exact_round, spread_key
 from cargolens.operators.filters import completed, is_delayed, lookup
-from cargolens.operators.order_statistics import column_medians, pair_cuts, up_to
+from cargolens.operators.order_statistics import column_medians, pair_cuts, quantiles, up_to
 from cargolens.operators.scorecard import scorecard
 from cargolens.session import materialize
 

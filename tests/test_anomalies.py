@@ -5,7 +5,6 @@ import random
 import statistics
 from collections import defaultdict
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

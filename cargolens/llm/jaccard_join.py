@@ -424,6 +424,8 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Texts are sets of five-word shingles after lower-casing A to Z, and link when their Jaccard
     similarity reaches ``percent``; ``component_id`` is the smallest id that links lead to.
+    ``percent`` is above 50: up to there, sets may link over a single shingle, which pairs of
+    shingles do not find.
 
     A text with fewer than five words is one shingle. Null, empty and wordless texts have no
     shingles and link with nothing. Equal sets are one class from the start, and rows that
@@ -431,6 +433,8 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     in links but name no component; a null id that links with no other row has a null one. An
     empty table gives an empty result. Other columns are ignored.
     """
+    if percent <= 50:
+        raise ValueError("the least similarity must be above 50 percent")
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     spark = docs.sparkSession
     found = written(_profiles(rows), "profiles")

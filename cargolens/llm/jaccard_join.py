@@ -10,9 +10,11 @@ lists the large sets are entered in. Small sets near the boundary are entered th
 An inverted list is scanned as a stream. Every entry is paired with the first entries of its list
 only, which leaves nothing open in short lists. What it leaves open in long ones is taken up when
 the components of the links found so far are known: only entries of different components are
-paired then. So a list of near copies costs one link per entry, and no link between components is
-lost. Candidates pass a size filter, a filter by place in the list's set, and one by a parity
-sketch, all of them free of false negatives; then the whole sets are compared.
+paired then. Round by round, entries outside their list's largest component meet eight times as
+many entries of the list, drawn anew, until all are met or the list is of one component. So a list
+of near copies costs a few pairs per entry, and no link between components is lost. Candidates pass
+a size filter, a filter by place in the list's set, and one by a parity sketch, all of them free of
+false negatives; then the whole sets are compared.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from cargolens.llm.storage import small, written
 THRESHOLD = 75  # percent
 SUBSET = 2  # shingles of a subset
 LEADERS = 2  # first entries of a list that all others are paired with
-ROUNDS = 2  # of pairing open entries of long lists with one more entry each
+DRAWN = 8  # entries of a long list that open ones meet in the first round, growing as a power
+FOLD_WORDS = 8  # 64-bit words of the sketches that open entries carry, the least that any set has
 SCAN_COST = 2.0  # of an entry in an inverted list, against one for a subset
 WINDOW_SHINGLES = 4_000_000  # shingles a task counts at a time,
 WINDOW_REPEATS = 8  # and sends on if they are repeated so often
@@ -51,7 +54,7 @@ def parity_sketch(hashes: np.ndarray) -> bytes:
 
     Two sets differ in at least as many elements as their sketches do in bits.
     """
-    bits = 64
+    bits = 64 * FOLD_WORDS
     while bits < len(hashes):
         bits *= 2
     hits = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
@@ -379,43 +382,76 @@ def _sets(rows: DataFrame, classes: DataFrame, asked: DataFrame, moved: set[int]
     )
 
 
-def _open_entries(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """Entries of long lists that hold classes of several components, with their component."""
-    entries = written(
-        lists.join(groups, lists["a"] == groups["node"], "left").select(
-            "sig", F.col("a").alias("class"), "n", "rest",
-            F.coalesce("component", "a").alias("component"),
-        ),
+def _folded(classes: DataFrame) -> DataFrame:
+    """``class`` and its sketch, folded to the words ``f0, f1, ...``."""
+    names = [f"f{k}" for k in range(FOLD_WORDS)]
+
+    def run(batches):
+        for batch in batches:
+            words = np.zeros((batch.num_rows, FOLD_WORDS), dtype=np.int64)
+            for k, sketch in enumerate(batch.column(1)):
+                parts = np.frombuffer(sketch.as_buffer(), dtype=np.int64)
+                words[k] = np.bitwise_xor.reduce(parts.reshape(-1, FOLD_WORDS), axis=0)
+            folds = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(FOLD_WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *folds], ["class", *names])
+
+    return classes.select("class", "sketch").mapInArrow(
+        run, ", ".join(f"{c} long" for c in ("class", *names))
+    )
+
+
+def _open_entries(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """Entries of lists that hold classes of several components, with their ``component``.
+
+    ``minor`` is whether that is not the list's largest one, ``entries`` the list's length.
+    """
+    labelled = written(
+        entries.drop("component", "minor", "entries")
+        .join(groups, entries["class"] == groups["node"], "left")
+        .drop("node").withColumn("component", F.coalesce("component", "class")),
         "lists",
     )
-    mixed = (
-        entries.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        .filter("x <> y").select("sig")
+    parts = labelled.groupBy("sig", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("sig").agg(
+        F.max(F.struct("n", "component"))["component"].alias("major"),
+        F.sum("n").alias("entries"), F.count("*").alias("components"),
+    )
+    mixed = mixed.filter("components > 1").drop("components")
+    return written(
+        labelled.join(mixed, "sig").withColumn("minor", F.col("component") != F.col("major"))
+        .drop("major"),
+        "open",
     )
-    return written(entries.join(mixed, "sig"), "open")
 
 
 def _across(entries: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of possible partners of different components that share a list."""
-    other = others.toDF("sig", "b", "n_b", "rest_b", "component_b")
-    sizes = F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent
-    places = (F.least("rest", "rest_b") + 1) * (100 + percent) >= (
-        F.col("n") + F.col("n_b")
-    ) * percent
+    """Pairs ``a, b`` of possible partners of different components that share a list.
+
+    Of two components in a list one is minor, so only minor entries look for others. Sizes, places
+    and folded sketches are conditions of the join: pairs that fail them never become rows.
+    """
+    x, y = entries.filter("minor").alias("x"), others.alias("y")
+    total = F.col("x.n").cast("long") + F.col("y.n")
+    sizes = F.least("x.n", "y.n").cast("long") * 100 >= F.greatest("x.n", "y.n").cast("long") * percent
+    places = (F.least("x.rest", "y.rest") + 1) * (100 + percent) >= total * percent
+    apart = sum(
+        (F.bit_count(F.col(f"x.f{k}").bitwiseXOR(F.col(f"y.f{k}"))) for k in range(FOLD_WORDS)),
+        F.lit(0),
+    )
+    sketches = (total - apart) * (100 + percent) >= total * 2 * percent
+    same = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") != F.col("y.component"))
     return (
-        entries.join(other, "sig")
-        .filter((F.col("component") > F.col("component_b")) & sizes & places)
-        .select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b"))
+        x.join(y, same & sizes & places & sketches)
+        .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
         .distinct()
     )
 
 
-def _first_entries(entries: DataFrame) -> DataFrame:
-    """Of each list one entry of its smallest component."""
-    columns = ["class", "n", "rest", "component"]
-    first = F.min(F.struct("component", "class", "n", "rest")).alias("e")
-    found = entries.groupBy("sig").agg(first)
-    return written(found.select("sig", *(f"e.{c}" for c in columns)), "first")
+def _drawn_entries(entries: DataFrame, most: int) -> DataFrame:
+    """About ``most`` entries of each list, all of lists that are not longer."""
+    span = 1 << 20
+    share = F.pmod(F.xxhash64("class", F.lit(most)), F.lit(span)) * F.col("entries")
+    return entries.filter((F.col("entries") <= most) | (share < F.lit(span * most)))
 
 
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -474,21 +510,28 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     links = compared(near)
     groups = connected_components(links)
-    lists = scanned.filter("b IS NULL").select("sig", "a", "n", "rest")
-    compared_pairs = near
-    for step in range(ROUNDS + 1):
-        entries = _open_entries(lists, groups)
-        if entries.isEmpty():
-            break
-        # First again with one entry of each list, which joins most of what belongs together;
-        # in the last step all that is still open.
-        others = entries if step == ROUNDS else _first_entries(entries)
-        pairs = _across(entries, others, percent).join(compared_pairs, ["a", "b"], "left_anti")
-        near = written(_near(pairs, classes, percent), "near")
-        if not near.isEmpty():
-            compared_pairs = compared_pairs.union(near)
-            links = links.union(compared(near))
+    lists = scanned.filter("b IS NULL").select("sig", F.col("a").alias("class"), "n", "rest")
+    entries = _open_entries(lists, groups)
+    asked = written(entries.select("class").distinct(), "asked")
+    folded = _folded(classes.join(small(asked), "class", "left_semi"))
+    entries = written(entries.join(folded, "class"), "open")
+    tried, most = near, DRAWN
+    while longest := entries.agg(F.max("entries")).first()[0]:
+        pairs = _across(entries, _drawn_entries(entries, most), percent)
+        near = written(
+            _near(pairs.join(tried, ["a", "b"], "left_anti"), classes, percent), "near"
+        )
+        found = None if near.isEmpty() else compared(near)
+        gained = found is not None and not found.isEmpty()
+        if gained:
+            links = links.union(found)
             groups = connected_components(links)
+        if most >= longest:
+            break
+        entries = _open_entries(entries, groups) if gained else entries
+        tried = tried.union(near)
+        # A round that joins nothing leaves little for others: the next takes all entries.
+        most = most * DRAWN if gained else longest
     groups = written(groups, "groups")
     labelled = written(
         members.join(groups, members["class"] == groups["node"], "left").select(

@@ -4,29 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cargolens.llm.storage import small, written
+from cargolens.llm.storage import discard, small, written
 
 
-def _attach_minima(edges: DataFrame, minima: DataFrame) -> DataFrame:
-    # The minima are a written table: both sides of the join are plain exchanges, which AQE
-    # can split where one node has many edges.
-    return edges.join(small(written(minima, "minima")), "u")
+# The minima are a written table: both sides of the join are plain exchanges, which AQE can split
+# where one node has many edges.
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    minima = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return _attach_minima(both.filter("v > u"), minima).select(
+    lowest = F.least(F.min("v"), F.first("u")).alias("m")
+    minima = written(both.groupBy("u").agg(lowest), "minima")
+    found = both.filter("v > u").join(small(minima), "u").select(
         F.col("v").alias("u"), F.col("m").alias("v")
     )
+    return _next_edges(found, edges, minima)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    minima = edges.groupBy("u").agg(F.min("v").alias("m"))
-    found = _attach_minima(edges, minima)
-    return found.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-        minima.select("u", F.col("m").alias("v"))
-    )
+    minima = written(edges.groupBy("u").agg(F.min("v").alias("m")), "minima")
+    found = edges.join(small(minima), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _next_edges(found.union(minima.select("u", F.col("m").alias("v"))), edges, minima)
+
+
+def _next_edges(found: DataFrame, *used: DataFrame) -> DataFrame:
+    edges = written(found.filter("u <> v").distinct(), "edges")
+    discard(*used)
+    return edges
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -53,7 +57,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while found != before and found[0]:
         before = found
         for star in (_large_star, _small_star):
-            now = written(star(now).filter("u <> v").distinct(), "edges")
+            now = star(now)
         found = _fingerprint(now)
     ends = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return ends.union(now.select(F.col("v").alias("node"), F.col("v")).distinct())

@@ -6,12 +6,18 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+import weakref
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of at most a few dozen bytes each that may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Spark's setting to drop the shuffle files of a query when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,17 +38,45 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage is cut, columns stay prunable."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The frame as a Parquet table in the shared folder: lineage is cut, columns stay prunable.
+
+    Shuffle files of the job that wrote it go at once, as nothing reads them any more.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``written`` tables whose last reader has been written itself."""
+    for table in tables:
+        _delete(table.sparkSession, _paths.pop(table))
 
 
 def release(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    _delete(spark, shared_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

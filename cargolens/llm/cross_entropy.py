@@ -2,27 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cargolens.llm.shingles import word_hashes
-from cargolens.llm.storage import small, written
+from cargolens.llm.storage import discard, small, written
 
 WORD_BITS = 18  # smoothing spreads over at least 2^18 words, more if the texts hold more
 PAIR_WEIGHT = 0.7  # of the pair model, the rest goes to the word model
+HEAD_WORDS = 200_000  # of the most frequent words, whose counts go to all tasks
 HEAD_PAIRS = 100_000  # of the most frequent pairs, whose losses go to all tasks
 AT_ONCE = 1_000_000  # words that a task holds before it hands counts on
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_RARE = np.uint64(1 << 63)
 
 
-def _pairs(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit keys of a text's words with the one before, that one's hash (0: none), their own."""
-    words = word_hashes(text)
-    before = np.concatenate([np.zeros(1, np.uint64), words])[: len(words)]
-    return (before * _ODD + (words ^ (before >> np.uint64(29)))) * _ODD, before, words
+class Head:
+    """Frequent words in order of their hashes; a word's code is its place, from 1 on.
+
+    Other words' codes are their hashes with the highest bit set, so negative; 0 is no word.
+    """
+
+    def __init__(self, words: pa.Table, total: dict, vocabulary: int):
+        order = np.argsort(words["word"].to_numpy().view(np.uint64))
+        self.words = words["word"].to_numpy().view(np.uint64)[order]
+        counts = [words[c].to_numpy()[order].astype(float) for c in ("t", "b")]
+        self.once = [
+            np.concatenate([[1.0], (c + 1.0) / (total[k] + vocabulary)])
+            for k, c in zip(("t", "b"), counts, strict=True)
+        ]
+        self.counts = [np.concatenate([[0.0], c]) for c in counts]
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.words, words)
+        hit = at < len(self.words)
+        hit[hit] = self.words[at[hit]] == words[hit]
+        return np.where(hit, at.astype(np.uint64) + np.uint64(1), words | _RARE).view(np.int64)
+
+    def single_losses(self, before: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+        """Losses of pairs of frequent words that the target lacks and the corpus has once."""
+        found = []
+        for n, counts, once in zip((0.0, 1.0), self.counts, self.once, strict=True):
+            alone, all_before = once[word], counts[before]
+            follows = PAIR_WEIGHT * n / np.maximum(all_before, 1.0) + (1.0 - PAIR_WEIGHT) * alone
+            found.append(-np.log(np.where(all_before > 0, follows, alone)))
+        return found
+
+
+def _pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``before, word, n``: distinct words of a text with the one before (0: none)."""
+    before = np.concatenate([np.zeros(1, np.int64), codes])[: len(codes)]
+    return _summed(before, codes, np.ones(len(codes), np.int64))
+
+
+def _summed(before, word, n):
+    """The counts of equal pairs added."""
+    if not len(n):
+        return before, word, n
+    order = np.lexsort((word, before))
+    before, word = before[order], word[order]
+    new = np.ones(len(n), dtype=bool)
+    new[1:] = (before[1:] != before[:-1]) | (word[1:] != word[:-1])
+    first = np.flatnonzero(new)
+    return before[first], word[first], np.add.reduceat(n[order], first)
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
@@ -31,85 +77,109 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
         yield raw.to_pybytes() if raw is not None else None
 
 
-def pair_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``pair, before, word, n``: the words of all texts with the one before, counted in parts."""
-
-    def summed(held):
-        pair, before, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        pair, first, group = np.unique(pair, return_index=True, return_inverse=True)
-        n = np.bincount(group, n, len(pair)).astype(np.int64)
-        return pair, before[first], word[first], n
+def _counts(docs: DataFrame, text_column: str, of_text: Callable) -> DataFrame:
+    """``before, word, n``: what ``of_text`` finds in word hashes of all texts, counted in parts."""
 
     def counted(batches):
         held, size = [], 0
         for batch in batches:
             for text in _texts(batch, 0):
-                pair, before, word = _pairs(text)
-                held.append((pair, before, word, np.ones(len(pair))))
-                size += len(pair)
+                held.append(of_text(word_hashes(text)))
+                size += len(held[-1][2])
                 if size >= AT_ONCE:
-                    held = [summed(held)]
-                    size = len(held[0][0])
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = len(held[0][2])
                     if size >= AT_ONCE // 2:
                         yield from sent(held.pop())
                         size = 0
         if held:
-            yield from sent(summed(held))
+            yield from sent(_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
     def sent(columns):
         for at in range(0, len(columns[0]), 100_000):
-            part = [pa.array(c[at : at + 100_000].view(np.int64)) for c in columns]
-            yield pa.RecordBatch.from_arrays(part, ["pair", "before", "word", "n"])
+            part = [pa.array(c[at : at + 100_000]) for c in columns]
+            yield pa.RecordBatch.from_arrays(part, ["before", "word", "n"])
 
     return docs.select(F.col(text_column).alias("text")).mapInArrow(
-        counted, "pair long, before long, word long, n long"
+        counted, "before long, word long, n long"
     )
 
 
-def _loss(n: str, words: str, before: str, total: int, vocabulary: int) -> Column:
+def _both(docs: DataFrame, target: DataFrame, text_column: str, of_text: Callable) -> DataFrame:
+    """``before, word, t, b``: counts in the target and in the corpus."""
+    def of(frame, n):
+        return _counts(frame, text_column, of_text).select("before", "word", *(
+            (F.col("n") if c == n else F.lit(0).cast("long")).alias(c) for c in ("t", "b")
+        ))
+
+    return of(target, "t").union(of(docs, "b")).groupBy("before", "word").agg(
+        F.sum("t").alias("t"), F.sum("b").alias("b")
+    )
+
+
+def word_counts(docs: DataFrame, target: DataFrame, text_column: str = "text") -> DataFrame:
+    """``word, t, b`` of all words, a written table."""
+    def of_text(words):
+        word = np.sort(words.view(np.int64))
+        return _summed(np.zeros(len(word), np.int64), word, np.ones(len(word), np.int64))
+
+    return written(_both(docs, target, text_column, of_text).drop("before"), "words")
+
+
+def _loss(n: Column, words: str, before: str, total: int, vocabulary: int) -> Column:
     """-log p(word | word before), the first word by the word model alone."""
     once = (F.coalesce(F.col(words), F.lit(0)) + 1.0) / F.lit(float(total + vocabulary))
-    follows = PAIR_WEIGHT * F.col(n) / F.col(before) + (1.0 - PAIR_WEIGHT) * once
+    follows = PAIR_WEIGHT * n / F.col(before) + (1.0 - PAIR_WEIGHT) * once
     return -F.log(F.when(F.col(before) > 0, follows).otherwise(once))
 
 
-def pair_losses(docs: DataFrame, target: DataFrame, text_column: str = "text") -> DataFrame:
-    """``pair, n, loss_target, loss_background`` of all pairs of ``docs``, a written table."""
-    def of(frame, n):
-        counts = pair_counts(frame, text_column)
-        return counts.select("pair", "before", "word", *(
-            (F.col("n") if c == n else F.lit(0).cast("long")).alias(c) for c in ("t", "b")
-        ))
+def pair_losses(docs: DataFrame, target: DataFrame, words: DataFrame, head: Broadcast, total: dict,
+                vocabulary: int, text_column: str = "text") -> DataFrame:
+    """``before, word, n, loss_target, loss_background``, a written table, of all pairs but those
+    of two frequent words that the target lacks and the corpus has once.
 
+    Losses of two frequent words are less what ``Head.single_losses`` gives for them.
+    """
+    pairs = _both(docs, target, text_column, lambda hashes: _pairs(head.value.codes(hashes)))
+    rare = (F.col("before") < 0) | (F.col("word") < 0)
     pairs = written(
-        of(target, "t").union(of(docs, "b")).groupBy("pair").agg(
-            F.min("before").alias("before"), F.min("word").alias("word"),
-            F.sum("t").alias("t"), F.sum("b").alias("b"),
-        ),
-        "pairs",
+        pairs.filter("b > 0").filter(rare | (F.col("t") > 0) | (F.col("b") > 1)), "pairs"
+    )
+    frequent = docs.sparkSession.createDataFrame(
+        pa.table({
+            "word": head.value.words.view(np.int64),
+            "code": np.arange(1, len(head.value.words) + 1),
+        }),
+        "word long, code long",
     )
-    words = written(
-        pairs.groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "words"
+    coded = written(
+        words.join(F.broadcast(frequent), "word", "left").select(
+            F.coalesce("code", F.col("word").bitwiseOR(F.lit(-(1 << 63)))).alias("word"), "t", "b"
+        ),
+        "coded",
     )
-    total = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count("*").alias("n")).first()
-    vocabulary = max(1 << WORD_BITS, total["n"])
-    known = small(words)
-    rows = pairs.filter("b > 0").join(known.toDF("word", "word_t", "word_b"), "word", "left")
+    known = small(coded)
+    rows = pairs.join(known.toDF("word", "word_t", "word_b"), "word", "left")
     rows = rows.join(known.toDF("before", "before_t", "before_b"), "before", "left")
-    losses = [
-        _loss(c, f"word_{c}", f"before_{c}", total[c] or 0, vocabulary).alias(name)
-        for c, name in (("t", "loss_target"), ("b", "loss_background"))
-    ]
-    return written(rows.select("pair", F.col("b").alias("n"), *losses), "losses")
 
+    def loss(c, single, name):
+        of = [f"word_{c}", f"before_{c}", total[c], vocabulary]
+        known_loss = F.when(rare, 0.0).otherwise(_loss(F.lit(single), *of))
+        return (_loss(F.col(c), *of) - known_loss).alias(name)
 
-def _least_of_head(losses: DataFrame) -> int:
-    """The least count, a power of two, that at most ``HEAD_PAIRS`` pairs reach."""
-    sizes = losses.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()
+    losses = [loss("t", 0.0, "loss_target"), loss("b", 1.0, "loss_background")]
+    found = written(rows.select("before", "word", F.col("b").alias("n"), *losses), "losses")
+    discard(pairs, coded)
+    return found
+
+
+def _least_of_head(counts: DataFrame, most: int) -> int:
+    """The least count, a power of two, that at most ``most`` rows reach."""
+    sizes = counts.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()
     at, pairs = max((r["power"] for r in sizes), default=0) + 1, 0
     for row in sorted(sizes, key=lambda r: -r["power"]):
         pairs += row["count"]
-        if pairs > HEAD_PAIRS:
+        if pairs > most:
             break
         at = row["power"]
     return 1 << at
@@ -125,17 +195,29 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
     difference marks a text that is more like the target than like the corpus.
 
     A pair's losses are computed once and summed per document: those of the most frequent pairs
-    where the text is read, all others by a join on the pair.
+    where the text is read, all others by a join on the pair. Pairs of two frequent words that
+    the corpus has once and the target never are not stored, as their words' counts say all.
 
     Null, empty and wordless texts have no words and null losses. With an empty target all its
     words are equally likely. Repeated rows and null ids are scored each; other columns are
     ignored.
     """
-    losses = pair_losses(docs, target, text_column)
-    least = _least_of_head(losses)
-    found = losses.filter(F.col("n") >= least).drop("n").toArrow().sort_by("pair")
+    words = word_counts(docs, target, text_column)
+    sums = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count("*").alias("n")).first()
+    total = {c: sums[c] or 0 for c in ("t", "b")}
+    vocabulary = max(1 << WORD_BITS, sums["n"])
+    uses = words.withColumn("n", F.col("t") + F.col("b"))
+    common = uses.filter(F.col("n") >= _least_of_head(uses, HEAD_WORDS)).toArrow()
+    head = docs.sparkSession.sparkContext.broadcast(Head(common, total, vocabulary))
+    losses = pair_losses(docs, target, words, head, total, vocabulary, text_column)
+    discard(words)
+    losses = losses.withColumn("pair", F.xxhash64("before", "word"))
+    least = _least_of_head(losses, HEAD_PAIRS)
+    found = losses.filter(F.col("n") >= least).toArrow().sort_by(
+        [("before", "ascending"), ("word", "ascending")]
+    )
     shared = docs.sparkSession.sparkContext.broadcast(
-        [found[c].to_numpy() for c in ("pair", "loss_target", "loss_background")]
+        [found[c].to_numpy() for c in ("before", "word", "loss_target", "loss_background")]
     )
     rows = docs.select(
         F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"),
@@ -144,18 +226,24 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def entries(batches):
-        """The pairs outside the head of each text, after one entry for those in it."""
-        keys, *values = shared.value
+        """The pairs outside the head of each text, after one entry for what is known of it."""
+        known_before, known_word, *values = shared.value
+        places = _places(known_before, known_word)
         for batch in batches:
             numbers, held, size = batch.column(2).to_numpy(), [], 0
             for k, text in enumerate(_texts(batch, 1)):
-                pair, n = np.unique(_pairs(text)[0].view(np.int64), return_counts=True)
-                at = np.searchsorted(keys, pair)
-                hit = np.zeros(len(pair), dtype=bool)
-                hit[at < len(keys)] = keys[at[at < len(keys)]] == pair[at < len(keys)]
-                sums = [float((v[at[hit]] * n[hit]).sum()) for v in values]
-                held.append((k, pair[~hit], n[~hit], int(n[hit].sum()), *sums))
-                size += 1 + len(held[-1][1])
+                before, word, n = _pairs(head.value.codes(word_hashes(text)))
+                frequent = (before >= 0) & (word >= 0)
+                single = head.value.single_losses(before[frequent], word[frequent])
+                at, hit = places(before, word)
+                sums = [
+                    float(s @ n[frequent] + v[at[hit]] @ n[hit])
+                    for s, v in zip(single, values, strict=True)
+                ]
+                # A text's first word has no word before: its loss is known if it is frequent.
+                rest = ~hit & ~(frequent & (before == 0))
+                held.append((k, before[rest], word[rest], n[rest], int(n.sum()), *sums))
+                size += 1 + int(rest.sum())
                 if size >= AT_ONCE // 2:
                     yield sent(batch, numbers, held)
                     held, size = [], 0
@@ -166,27 +254,32 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
         sizes = np.array([1 + len(h[1]) for h in held])
         first = np.cumsum(sizes) - sizes
         at = np.repeat([h[0] for h in held], sizes)
-        pair, n = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
         sums, absent = np.zeros((2, len(at))), np.ones(len(at), dtype=bool)
         rest = np.ones(len(at), dtype=bool)
         rest[first], absent[first] = False, False
-        pair[rest], n[rest] = (np.concatenate([h[c] for h in held]) for c in (1, 2))
-        # An entry of a text is dealt by its row, as no pair's key.
-        pair[first] = (numbers[at[first]].view(np.uint64) * _ODD).view(np.int64)
-        n[first] = [h[3] for h in held]
-        sums[:, first] = np.array([h[4:] for h in held]).T
+        before, word, n = (np.zeros(len(at), np.int64) for _ in range(3))
+        before[rest], word[rest], n[rest] = (np.concatenate([h[c] for h in held]) for c in (1, 2, 3))
+        # An entry of a text is dealt by its row, as no pair: no code is the least number.
+        before[first], word[first] = np.iinfo(np.int64).min, numbers[at[first]]
+        sums[:, first] = np.array([h[5:] for h in held]).T
+        words_of = np.zeros(len(at), np.int64)
+        words_of[first] = [h[4] for h in held]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(at)), pa.array(numbers[at]), pa.array(pair),
-             pa.array(n), *(pa.array(x, mask=absent) for x in sums)],
-            ["doc_id", "row", "pair", "n", "t", "b"],
+            [batch.column(0).take(pa.array(at)), pa.array(numbers[at]), pa.array(before),
+             pa.array(word), pa.array(n), pa.array(words_of, mask=absent),
+             *(pa.array(x, mask=absent) for x in sums)],
+            ["doc_id", "row", "before", "word", "n", "n_words", "t", "b"],
         )
 
     dealt = rows.mapInArrow(
-        entries, f"doc_id {id_type}, row long, pair long, n long, t double, b double"
-    )
-    rest = losses.filter(F.col("n") < least).drop("n")
-    sums = dealt.join(rest, "pair", "left").groupBy("row", "doc_id").agg(
-        F.sum("n").alias("n_words"),
+        entries, f"doc_id {id_type}, row long, before long, word long, n long, n_words long, "
+        "t double, b double",
+    ).withColumn("pair", F.xxhash64("before", "word")).drop("before", "word")
+    rest = losses.filter(F.col("n") < least).select("pair", "loss_target", "loss_background")
+    # Pairs without an entry add nothing to what their text's entry has of them.
+    met = dealt.join(rest, "pair", "left").filter("n_words IS NOT NULL OR loss_target IS NOT NULL")
+    sums = met.groupBy("row", "doc_id").agg(
+        F.sum("n_words").alias("n_words"),
         F.sum(F.coalesce("t", F.col("n") * F.col("loss_target"))).alias("t"),
         F.sum(F.coalesce("b", F.col("n") * F.col("loss_background"))).alias("b"),
     )
@@ -194,6 +287,25 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
         F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).alias(name)
         for c, name in (("t", "loss_target"), ("b", "loss_background"))
     ]
-    return sums.select("doc_id", "n_words", *means).withColumn(
+    return written(sums.select("doc_id", "n_words", *means).withColumn(
         "difference", F.col("loss_target") - F.col("loss_background")
-    )
+    ), "scores")
+
+
+def _places(before: np.ndarray, word: np.ndarray) -> Callable:
+    """Where pairs are in sorted ones, and whether they are."""
+    # One number per pair: the place of the word before, then the place among all words.
+    groups, words = np.unique(before), np.unique(word)
+    keys = np.searchsorted(groups, before) * len(words) + np.searchsorted(words, word)
+
+    def places(a, b):
+        i, j = np.searchsorted(groups, a), np.searchsorted(words, b)
+        hit = (i < len(groups)) & (j < len(words))
+        hit[hit] = (groups[i[hit]] == a[hit]) & (words[j[hit]] == b[hit])
+        asked = np.where(hit, i * len(words) + j, -1)
+        at = np.searchsorted(keys, asked)
+        hit &= at < len(keys)
+        hit[hit] = keys[at[hit]] == asked[hit]
+        return at, hit
+
+    return places

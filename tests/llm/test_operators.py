@@ -518,9 +518,10 @@ def brute_losses(texts, target):
     ]
 
 
-@pytest.mark.parametrize("head", [0, 100, 10**6])
-def test_losses_of_many_words_by_brute_force(spark, monkeypatch, head):
+@pytest.mark.parametrize("head, words", [(0, 10**6), (100, 50), (10**6, 0)])
+def test_losses_of_many_words_by_brute_force(spark, monkeypatch, head, words):
     monkeypatch.setattr(cross_entropy, "HEAD_PAIRS", head)
+    monkeypatch.setattr(cross_entropy, "HEAD_WORDS", words)
     monkeypatch.setattr(cross_entropy, "AT_ONCE", 50_000)
     rng = np.random.default_rng(4)
     texts = [" ".join(f"n{k}" for k in rng.integers(0, 600_000, 20_000)) for _ in range(20)]

@@ -53,22 +53,31 @@ class Head:
         return found
 
 
-def _pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``before, word, n``: distinct words of a text with the one before (0: none)."""
+def _keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of codes."""
+    before, word = before.view(np.uint64), word.view(np.uint64)
+    mixed = (before * _ODD + (word ^ (before >> np.uint64(29)))) * _ODD
+    return (mixed ^ (mixed >> np.uint64(32))) * _ODD
+
+
+def _occurrences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``before, word, n``: the words of a text with the one before (0: none), one each."""
     before = np.concatenate([np.zeros(1, np.int64), codes])[: len(codes)]
-    return _summed(before, codes, np.ones(len(codes), np.int64))
+    return before, codes, np.ones(len(codes), np.int64)
 
 
 def _summed(before, word, n):
-    """The counts of equal pairs added."""
+    """The counts of equal pairs added; pairs in order of their keys, which come last."""
+    keys = _keys(before, word)
     if not len(n):
-        return before, word, n
-    order = np.lexsort((word, before))
-    before, word = before[order], word[order]
+        return before, word, n, keys
+    order = np.argsort(keys)
+    keys = keys[order]
     new = np.ones(len(n), dtype=bool)
-    new[1:] = (before[1:] != before[:-1]) | (word[1:] != word[:-1])
+    new[1:] = keys[1:] != keys[:-1]
     first = np.flatnonzero(new)
-    return before[first], word[first], np.add.reduceat(n[order], first)
+    at = order[first]
+    return before[at], word[at], np.add.reduceat(n[order], first), keys[first]
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
@@ -87,13 +96,13 @@ def _counts(docs: DataFrame, text_column: str, of_text: Callable) -> DataFrame:
                 held.append(of_text(word_hashes(text)))
                 size += len(held[-1][2])
                 if size >= AT_ONCE:
-                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))[:3]]
                     size = len(held[0][2])
                     if size >= AT_ONCE // 2:
                         yield from sent(held.pop())
                         size = 0
         if held:
-            yield from sent(_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield from sent(_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))[:3])
 
     def sent(columns):
         for at in range(0, len(columns[0]), 100_000):
@@ -120,8 +129,7 @@ def _both(docs: DataFrame, target: DataFrame, text_column: str, of_text: Callabl
 def word_counts(docs: DataFrame, target: DataFrame, text_column: str = "text") -> DataFrame:
     """``word, t, b`` of all words, a written table."""
     def of_text(words):
-        word = np.sort(words.view(np.int64))
-        return _summed(np.zeros(len(word), np.int64), word, np.ones(len(word), np.int64))
+        return np.zeros(len(words), np.int64), words.view(np.int64), np.ones(len(words), np.int64)
 
     return written(_both(docs, target, text_column, of_text).drop("before"), "words")
 
@@ -140,7 +148,7 @@ def pair_losses(docs: DataFrame, target: DataFrame, words: DataFrame, head: Broa
 
     Losses of two frequent words are less what ``Head.single_losses`` gives for them.
     """
-    pairs = _both(docs, target, text_column, lambda hashes: _pairs(head.value.codes(hashes)))
+    pairs = _both(docs, target, text_column, lambda hashes: _occurrences(head.value.codes(hashes)))
     rare = (F.col("before") < 0) | (F.col("word") < 0)
     pairs = written(
         pairs.filter("b > 0").filter(rare | (F.col("t") > 0) | (F.col("b") > 1)), "pairs"
@@ -213,11 +221,11 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
     discard(words)
     losses = losses.withColumn("pair", F.xxhash64("before", "word"))
     least = _least_of_head(losses, HEAD_PAIRS)
-    found = losses.filter(F.col("n") >= least).toArrow().sort_by(
-        [("before", "ascending"), ("word", "ascending")]
-    )
+    found = losses.filter(F.col("n") >= least).toArrow()
+    keys = _keys(found["before"].to_numpy(), found["word"].to_numpy())
+    order = np.argsort(keys)
     shared = docs.sparkSession.sparkContext.broadcast(
-        [found[c].to_numpy() for c in ("before", "word", "loss_target", "loss_background")]
+        [keys[order], *(found[c].to_numpy()[order] for c in ("loss_target", "loss_background"))]
     )
     rows = docs.select(
         F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"),
@@ -227,15 +235,17 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
 
     def entries(batches):
         """The pairs outside the head of each text, after one entry for what is known of it."""
-        known_before, known_word, *values = shared.value
-        places = _places(known_before, known_word)
+        known, *values = shared.value
         for batch in batches:
             numbers, held, size = batch.column(2).to_numpy(), [], 0
             for k, text in enumerate(_texts(batch, 1)):
-                before, word, n = _pairs(head.value.codes(word_hashes(text)))
+                codes = head.value.codes(word_hashes(text))
+                before, word, n, keys = _summed(*_occurrences(codes))
                 frequent = (before >= 0) & (word >= 0)
                 single = head.value.single_losses(before[frequent], word[frequent])
-                at, hit = places(before, word)
+                at = np.searchsorted(known, keys)
+                hit = at < len(known)
+                hit[hit] = known[at[hit]] == keys[hit]
                 sums = [
                     float(s @ n[frequent] + v[at[hit]] @ n[hit])
                     for s, v in zip(single, values, strict=True)
@@ -263,11 +273,11 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
         before[first], word[first] = np.iinfo(np.int64).min, numbers[at[first]]
         sums[:, first] = np.array([h[5:] for h in held]).T
         words_of = np.zeros(len(at), np.int64)
+        ids = batch.column(0).take(pa.array(at, mask=absent))
         words_of[first] = [h[4] for h in held]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(at)), pa.array(numbers[at]), pa.array(before),
-             pa.array(word), pa.array(n), pa.array(words_of, mask=absent),
-             *(pa.array(x, mask=absent) for x in sums)],
+            [ids, pa.array(numbers[at]), pa.array(before), pa.array(word), pa.array(n),
+             pa.array(words_of, mask=absent), *(pa.array(x, mask=absent) for x in sums)],
             ["doc_id", "row", "before", "word", "n", "n_words", "t", "b"],
         )
 
@@ -278,7 +288,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
     rest = losses.filter(F.col("n") < least).select("pair", "loss_target", "loss_background")
     # Pairs without an entry add nothing to what their text's entry has of them.
     met = dealt.join(rest, "pair", "left").filter("n_words IS NOT NULL OR loss_target IS NOT NULL")
-    sums = met.groupBy("row", "doc_id").agg(
+    sums = met.groupBy("row").agg(
+        F.first("doc_id", ignorenulls=True).alias("doc_id"),  # only a text's own entry has it
         F.sum("n_words").alias("n_words"),
         F.sum(F.coalesce("t", F.col("n") * F.col("loss_target"))).alias("t"),
         F.sum(F.coalesce("b", F.col("n") * F.col("loss_background"))).alias("b"),
@@ -290,22 +301,3 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
     return written(sums.select("doc_id", "n_words", *means).withColumn(
         "difference", F.col("loss_target") - F.col("loss_background")
     ), "scores")
-
-
-def _places(before: np.ndarray, word: np.ndarray) -> Callable:
-    """Where pairs are in sorted ones, and whether they are."""
-    # One number per pair: the place of the word before, then the place among all words.
-    groups, words = np.unique(before), np.unique(word)
-    keys = np.searchsorted(groups, before) * len(words) + np.searchsorted(words, word)
-
-    def places(a, b):
-        i, j = np.searchsorted(groups, a), np.searchsorted(words, b)
-        hit = (i < len(groups)) & (j < len(words))
-        hit[hit] = (groups[i[hit]] == a[hit]) & (words[j[hit]] == b[hit])
-        asked = np.where(hit, i * len(words) + j, -1)
-        at = np.searchsorted(keys, asked)
-        hit &= at < len(keys)
-        hit[hit] = keys[at[hit]] == asked[hit]
-        return at, hit
-
-    return places

@@ -9,10 +9,14 @@ from cargolens.llm.storage import written
 
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+# Java's regular expressions go one call deeper for each repeat, so repeats are bounded.
+_LINK_TAG = r"""(?i)<link\b(?:[^>"']++|"[^"]*+"|'[^']*+'){0,500}+>"""
+_META_TAG = r"""(?i)<meta\b(?:[^>"']++|"[^"]*+"|'[^']*+'){0,500}+>"""
+_IS_REFRESH = r"""(?i)\shttp-equiv\s*=\s*["']?\s*refresh\b"""
 _URL = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
+_NUMBER = r"^(?:(\d{1,7})|[xX]([0-9A-Fa-f]{1,6}));?"
+#: Named references for characters that urls hold, but ``&amp;``.
+NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 
 
 def url_host(url: Column) -> Column:
@@ -32,28 +36,99 @@ def url_address(url: Column) -> Column:
     return F.when(url_host(url) != "", F.concat(url_host(url), rest))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, quoted or not; empty if the tag lacks it."""
+    def value(quoted):
+        return F.regexp_extract(tag, rf"""(?i)\s{name}\s*=\s*{quoted}""", 1)
+
+    return F.concat(value('"([^"]*)"'), value("'([^']*)'"), value(r"""([^"'\s>][^\s>]*)"""))
+
+
+def _without_references(text: Column) -> Column:
+    """Named and printable ASCII numeric character references replaced, each once."""
+    def number(part, k):
+        found = F.coalesce(
+            F.regexp_extract(part, _NUMBER, 1).try_cast("int"),
+            F.conv(F.regexp_extract(part, _NUMBER, 2), 16, 10).try_cast("int"),
+        )
+        rest = F.regexp_replace(part, _NUMBER, "")
+        return F.when(k == 0, part).when(
+            found.between(33, 126), F.concat(F.chr(found), rest)
+        ).otherwise(F.concat(F.lit("&#"), part))
+
+    def segment(part):
+        for name, character in NAMED.items():
+            part = F.replace(part, F.lit(name), F.lit(character))
+        return F.array_join(F.transform(F.split(part, "&#"), number), "")
+
+    decoded = F.array_join(F.transform(F.split(text, "&amp;"), segment), "&")
+    return F.when(text.contains("&"), decoded).otherwise(text)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with ``/``, with ``.`` and ``..`` segments resolved."""
+    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+    ends_open = path.rlike(r"/\.{1,2}$")
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda done, part: F.when(part == ".", done)
+        .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    found = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    found = F.when(ends_open & ~found.endswith("/"), F.concat(found, F.lit("/"))).otherwise(found)
+    return F.when(path.contains("/."), found).otherwise(path)
+
+
+def _resolved(target: Column, page: Column) -> Column:
+    """The address a target leads to from a page, null if it leads nowhere (RFC 3986, 5.2)."""
+    scheme = F.regexp_extract(page, "^([^:/?#]*:)//", 1)
+    site = F.regexp_extract(page, "^([^:/?#]*://[^/?#]*)", 1)
+    path = url_path(page)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, "^(.*/)", 1), F.lit("")), F.lit("/"))
+    rest = F.regexp_extract(target, r"^[^?#]*([?#].*)?$", 1)
+    own = F.regexp_extract(target, r"^([^?#]*)", 1)
+    return (
+        F.when(target == "", None)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(target.contains("://"), target))
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(site == "", None)
+        .when(target.startswith("/"), F.concat(site, _without_dots(own), rest))
+        .when(target.startswith("#"), None)
+        .when(target.startswith("?"), F.concat(site, path, target))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def page_links(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
     """``src, dst``: urls of pages and of the canonical and refresh targets in their html.
 
-    Targets that begin with ``/`` are completed by the page's scheme and host; other relative
-    targets are left out, as are pages without url or html.
+    All ``link`` tags that have ``canonical`` among the words of ``rel`` count, and all refresh
+    ``meta`` tags. Character references in targets are decoded (named ones of ``NAMED`` and
+    ``&amp;``, numeric ones of printable ASCII), and relative targets resolved against the page.
+    Targets without a host (``mailto:``, a fragment alone) and pages without url or html are left
+    out, as are tags of more than 500 quoted and unquoted stretches (250 attributes).
     """
     rows = pages.select(F.col(url_column).alias("src"), F.col(html_column).alias("html"))
     found = rows.filter("src IS NOT NULL").filter(F.col("html").rlike("(?i)canonical|refresh"))
-    targets = F.array(
-        F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1),
-        F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _URL, 1),
+    tags = {
+        kind: F.regexp_extract_all("html", F.lit(tag), F.lit(0))
+        for kind, tag in (("link", _LINK_TAG), ("meta", _META_TAG))
+    }
+    canonical = F.filter(
+        tags["link"],
+        lambda tag: F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical"),
     )
-    found = found.select("src", F.explode(targets).alias("dst"))
-    scheme = F.regexp_extract("src", "^([^:/?#]*:)//", 1)
-    site = F.regexp_extract("src", "^([^:/?#]*://[^/?#]*)", 1)
-    dst = F.col("dst")
-    whole = (
-        F.when(dst.startswith("//"), F.concat(scheme, dst))
-        .when(dst.startswith("/"), F.concat(site, dst))
-        .otherwise(dst)
+    refresh = F.filter(tags["meta"], lambda tag: tag.rlike(_IS_REFRESH))
+    targets = F.concat(
+        F.transform(canonical, lambda tag: _attribute(tag, "href")),
+        F.transform(refresh, lambda tag: F.regexp_extract(tag, _URL, 1)),
     )
-    return found.select("src", whole.alias("dst")).filter(F.col("dst").contains("://"))
+    found = found.select("src", F.explode(targets).alias("dst"))
+    target = F.trim(_without_references(F.col("dst")))
+    return found.select("src", target.alias("dst")).select(
+        "src", _resolved(F.col("dst"), F.col("src")).alias("dst")
+    ).filter("dst IS NOT NULL")
 
 
 def _decide(places: DataFrame, rules: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cargolens.functions.text import STOP_WORDS, tokens, with_bigrams
+from cargolens.session import materialize
 
 # Fixed values ---------------------------------------------------------------
 MAX_FEATURES = 4000
@@ -63,6 +64,50 @@ class Vocabulary:
         return spark.createDataFrame(self.rows, VOCABULARY_SCHEMA)
 
 
+def _totals(listed: DataFrame) -> DataFrame:
+    """``term, total, df``: how often a term occurs, and in how many rows."""
+    term = F.col("terms")
+    # All terms of a row, then its distinct ones: the place tells which of the two is counted.
+    placed = listed.select(
+        F.size(term).alias("size"),
+        F.posexplode(F.concat(term, F.array_distinct(term))).alias("at", "term"),
+    )
+    return placed.groupBy("term").agg(
+        F.count_if(F.col("at") < F.col("size")).alias("total"),
+        F.count_if(F.col("at") >= F.col("size")).alias("df"),
+    )
+
+
+def _frequent_pairs(
+    listed: DataFrame, singles: DataFrame, first: list, max_features: int
+) -> DataFrame:
+    """The pairs of neighbours, as ``terms``, that may be among the first ``max_features`` terms.
+
+    A pair is not more frequent than either of its words, and comes after its first word in the
+    order of terms. So its first word is among the ``first`` words, and the other at least as
+    frequent as the last of them. Most pairs are rare and thus need not be counted.
+    """
+    words = F.col("terms")
+    starts, ends = [row.term for row in first], None
+    if len(first) == max_features:
+        ends = [
+            row.term for row in singles.filter(F.col("total") >= (first[-1].total if first else 0))
+            .limit(2 * max_features + 1).collect()
+        ]
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+
+    def pair(one, other):
+        known = F.lit(True)
+        if ends is not None:
+            known = one.isin(starts)
+            if len(ends) <= 2 * max_features:  # else too many words are tied with the last
+                known = known & other.isin(ends)
+        return F.when(known, F.concat(one, F.lit(" "), other))
+
+    pairs = F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), pair)
+    return listed.select(F.array_compact(pairs).alias("terms"))
+
+
 def fit_vocabulary(
     texts: DataFrame, key: str, text: str = "text", max_features: int = MAX_FEATURES,
     bigrams: bool = True, stop_words: Sequence[str] = tuple(STOP_WORDS),
@@ -72,14 +117,14 @@ def fit_vocabulary(
     idf = ln((1 + texts) / (1 + texts with the term)) + 1. Only the kept terms, whose
     number the caller bounds, come to the driver, as when fitting any vocabulary.
     """
-    counts = term_counts(texts, key, text, bigrams, stop_words)
-    top = (
-        counts.groupBy("term")
-        .agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-        .orderBy(F.desc("total"), "term")
-        .limit(max_features)
-        .collect()
-    )
+    singles = materialize(_totals(_listed(texts, key, text, False, stop_words)))
+    first = singles.orderBy(F.desc("total"), "term").limit(max_features).collect()
+    if bigrams:
+        pairs = _totals(_frequent_pairs(
+            _listed(texts, key, text, False, stop_words), singles, first, max_features
+        ))
+        first += pairs.orderBy(F.desc("total"), "term").limit(max_features).collect()
+    top = sorted(first, key=lambda row: (-row.total, row.term))[:max_features]
     size = texts.count()
     rows = [
         (row.term, number, row.df, math.log((1 + size) / (1 + row.df)) + 1.0)

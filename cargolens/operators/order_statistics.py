@@ -133,13 +133,25 @@ def order_statistics(
     wanted = [bound for p in shares for bound in (max(p - margin, 0.0), min(p + margin, 1.0))]
     rows = df.select(*keys, *deal_by, F.col(value).cast("double").alias("__value"))
     sizes, small = [*keys, "rows", "n"], F.col("n") <= small_group
-    sketch = rows.groupBy(*keys).agg(
+    values = rows.filter(F.col("__value").isNotNull())
+    extremes = [
         F.count("*").alias("rows"),
         F.count("__value").alias("n"),
         F.min("__value").alias("__min"),
         F.max("__value").alias("__max"),
-        F.percentile_approx("__value", wanted, accuracy).alias("__bounds"),
-    )
+    ]
+    bounds = F.percentile_approx("__value", wanted, accuracy).alias("__bounds")
+    if few_groups or not keys:
+        sketch = rows.groupBy(*keys).agg(*extremes, bounds)
+    else:
+        # Most groups are small: only counts are kept of them, and only large ones are sketched.
+        counted = materialize(rows.groupBy(*keys).agg(*extremes))
+        sketch = counted.withColumn("__bounds", F.lit(None).cast("array<double>"))
+        large = counted.filter(~small)
+        if not large.isEmpty():
+            ends = [*sizes, "__min", "__max"]
+            sketched = _joined(values, large, keys, deal_by, few_groups).groupBy(*ends).agg(bounds)
+            sketch = sketch.filter(small).unionByName(sketched)
     edges = []
     for i in range(len(picks)):
         low, high = F.col("__bounds")[2 * i], F.col("__bounds")[2 * i + 1]
@@ -149,7 +161,6 @@ def order_statistics(
             F.col("__min").alias(f"__from{i}"), F.col("__max").alias(f"__to{i}"),
         ]
     brackets = materialize(sketch.select(*sizes, *edges))
-    values = rows.filter(F.col("__value").isNotNull())
     ranks = [rank(F.col("n")) for _, rank in picks.values()]
     large = brackets.filter(~small)
     if not large.isEmpty():
@@ -212,6 +223,7 @@ def column_medians(
             F.struct(*[
                 v.alias(name)
                 for name, v in _counts(value[w[0]], *map(F.lit, near[w]), accuracy).items()
+                if near[w][0] != near[w][1] or name in ("below", "inside")
             ]).alias(f"p{k}") for k, w in enumerate(open_)
         ]).first()
         for w, found in zip(open_, counted):
@@ -232,21 +244,26 @@ def column_medians(
                            min(grid[min(cell + 2, GRID)], outer[w][1]))
     if not wanted:
         return dict.fromkeys(columns)
-    entries = F.array(*[
-        F.struct(F.lit(k).alias("pick"), F.lit(w[1] - below[w]).alias("rank"),
-                 value[w[0]].alias("value"), value[w[0]].between(*near[w]).alias("inside"))
-        for k, w in enumerate(wanted)
-    ])
-    steps = df.select(F.inline(F.filter(entries, lambda e: e["inside"]))).groupBy(
-        "pick", "rank", "value"
-    ).count()
-    upto = Window.partitionBy("pick").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    found = steps.withColumn("upto", F.sum("count").over(upto)).groupBy("pick").agg(
-        F.min(F.when(F.col("upto") > F.col("rank"), F.col("value"))).alias("value")
-    )
+    # The ends of a bracket of one value are that value; only values of others are ranked.
+    picked = {w: near[w][0] for w in wanted if near[w][0] == near[w][1]}
+    ranked = [w for w in wanted if w not in picked]
+    if ranked:
+        entries = F.array(*[
+            F.struct(F.lit(k).alias("pick"), F.lit(w[1] - below[w]).alias("rank"),
+                     value[w[0]].alias("value"), value[w[0]].between(*near[w]).alias("inside"))
+            for k, w in enumerate(ranked)
+        ])
+        steps = df.select(F.inline(F.filter(entries, lambda e: e["inside"]))).groupBy(
+            "pick", "rank", "value"
+        ).count()
+        upto = Window.partitionBy("pick").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        found = steps.withColumn("upto", F.sum("count").over(upto)).groupBy("pick").agg(
+            F.min(F.when(F.col("upto") > F.col("rank"), F.col("value"))).alias("value")
+        )
+        picked |= {ranked[row["pick"]]: row["value"] for row in found.collect()}
     middle: dict[str, list[float]] = {}
-    for row in found.orderBy("pick").collect():
-        middle.setdefault(wanted[row["pick"]][0], []).append(row["value"])
+    for w in wanted:
+        middle.setdefault(w[0], []).append(picked[w])
     return {
         c: middle[c][0] + (middle[c][-1] - middle[c][0]) * 0.5 if c in middle else None
         for c in columns

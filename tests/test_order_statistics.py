@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cargolens.operators import order_statistics
 from cargolens.operators.anomalies import upper_outliers
 from cargolens.operators.filters import fits_broadcast, lookup
 from cargolens.operators.order_statistics import (
@@ -191,3 +192,26 @@ def test_positions_and_running_totals(spark, rows_per_range):
     before = {r.id: r.before for r in sums.collect()}
     assert before == {r[1]: sum(x[2] for x in ordered[:k]) for k, r in enumerate(ordered)}
     assert with_position(frame.limit(0), ["id"]).count() == 0
+
+
+def test_only_large_groups_are_sketched(spark, monkeypatch):
+    """Groups of few values are counted, not sketched; the quantiles are those of all values."""
+    rows = [(g, float(v), g * 1000 + v) for g in range(6) for v in range(7 + 40 * (g == 0))]
+    frame = spark.createDataFrame(rows, "g bigint, v double, id bigint").repartition(4)
+    sketched = []
+    joined = order_statistics._joined
+    monkeypatch.setattr(
+        order_statistics, "_joined",
+        lambda values, brackets, *rest: sketched.append(brackets.count())
+        or joined(values, brackets, *rest),
+    )
+    found = order_statistics.quantiles(frame, ["g"], "v", {"q": 0.5}, ["id"], small_group=10)
+    assert {r.g: r.q for r in found.collect()} == {0: 23.0} | {g: 3.0 for g in range(1, 6)}
+    assert sketched[0] == 1
+
+
+def test_medians_of_ties_are_not_ranked(spark, monkeypatch):
+    """Where a bracket holds one value, it is the median; no scan is spent on it."""
+    frame = spark.createDataFrame([(float(v % 3),) for v in range(300)], "v double")
+    monkeypatch.setattr(order_statistics, "Window", None)
+    assert order_statistics.column_medians(frame, ["v"], small=10) == {"v": 1.0}

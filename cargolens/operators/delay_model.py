@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cargolens.functions.numbers import exact_round, spread_key
 from cargolens.operators.filters import completed, is_delayed, lookup
 from cargolens.operators.order_statistics import column_medians, pair_cuts, quantiles, up_to
 from cargolens.operators.scorecard import scorecard
-from cargolens.session import materialize
+from cargolens.session import materialize, shared_folder
 
 # Fixed values ---------------------------------------------------------------
 NUMERIC = [
@@ -139,10 +142,87 @@ def fit(train: DataFrame, trees: int = TREES, seed: int = SEED) -> PipelineModel
     return Pipeline(stages=stages).fit(weighted)
 
 
+def _forest_nodes(model: PipelineModel) -> pd.DataFrame:
+    """The nodes of all trees in order, as the forest writes them when saved.
+
+    ``column`` is the place of the tested column among ``NUMERIC`` and ``CATEGORICAL``. A numeric
+    test leads left up to ``cut``; a flag's compares the word's number with ``cut`` and leads left
+    if they are ``equal`` (or differ). Leaves lead to themselves. At most ``2 ** (depth + 1)``
+    nodes per tree come to the driver.
+    """
+    spark = SparkSession.active()
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    model.stages[-1].save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), "nodeData.id", "nodeData.leftChild", "nodeData.rightChild",
+        "nodeData.impurityStats", "nodeData.split.*",
+    ).toPandas().sort_values(["tree", "id"], ignore_index=True)
+    first = nodes.groupby("tree")["id"].transform("size").groupby(nodes["tree"]).first()
+    first = nodes["tree"].map(first.cumsum() - first).to_numpy()
+    leaf = nodes["leftChild"].to_numpy() < 0
+    own = np.arange(len(nodes))
+    stats = np.array(nodes["impurityStats"].to_list())
+    total = stats.sum(axis=1)
+    shares = np.divide(stats, total[:, None], where=total[:, None] != 0, out=np.zeros_like(stats))
+    sides = nodes["leftCategoriesOrThreshold"].map(lambda v: list(v) if v is not None else [])
+    # Flags of the words, by their place in the features.
+    flags = [(len(NUMERIC) + c, word) for c, row in enumerate(model.stages[0].labelsArray)
+             for word in range(len(row))]
+    column, cut, equal = np.zeros(len(nodes), int), np.zeros(len(nodes)), np.zeros(len(nodes), bool)
+    flag = np.zeros(len(nodes), bool)
+    for i in np.flatnonzero(~leaf):
+        feature, side = int(nodes["featureIndex"][i]), sides[i]
+        if feature < len(NUMERIC):
+            column[i], cut[i] = feature, side[0]
+        else:
+            column[i], cut[i] = flags[feature - len(NUMERIC)]
+            flag[i] = True
+            equal[i] = nodes["numCategories"][i] >= 0 and 1.0 in side
+    return pd.DataFrame({
+        "tree": nodes["tree"], "column": column, "cut": cut, "flag": flag, "equal": equal,
+        "left": np.where(leaf, own, nodes["leftChild"] + first),
+        "right": np.where(leaf, own, nodes["rightChild"] + first),
+        "share0": shares[:, 0], "share1": shares[:, 1],
+    })
+
+
+def _delayed_share(model: PipelineModel) -> Callable[..., Column]:
+    """The forest's probability of class 1, with all rows of a batch going down a tree at once."""
+    nodes = _forest_nodes(model)
+    roots = np.flatnonzero(~nodes["tree"].duplicated())
+    depth = model.stages[-1].getMaxDepth()
+    shared = SparkSession.active().sparkContext.broadcast(
+        (roots, {name: nodes[name].to_numpy() for name in nodes.columns})
+    )
+
+    @F.pandas_udf("double")
+    def share(*columns: pd.Series) -> pd.Series:
+        roots, node = shared.value
+        values = np.column_stack([c.to_numpy(float) for c in columns])
+        if np.isnan(values).any():
+            raise ValueError("features hold missing numbers")
+        row, votes = np.arange(len(values)), np.zeros((2, len(values)))
+        for root in roots:
+            at = np.full(len(values), root)
+            for _ in range(depth):
+                value, cut = values[row, node["column"][at]], node["cut"][at]
+                go_left = np.where(
+                    node["flag"][at], (value == cut) == node["equal"][at], value <= cut
+                )
+                at = np.where(go_left, node["left"][at], node["right"][at])
+            votes[0] += node["share0"][at]
+            votes[1] += node["share1"][at]
+        total = votes.sum(axis=0)
+        return pd.Series(np.divide(votes[1], total, where=total != 0, out=votes[1].copy()))
+
+    return share
+
+
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Add ``probability_delayed`` and ``prediction`` (1 = delayed) to feature rows."""
-    share = vector_to_array("probability")[1]
-    scored = model.transform(rows).withColumn("__share", share)
+    words = [f"{c}_index" for c in CATEGORICAL]
+    share = _delayed_share(model)(*[F.col(c).cast("double") for c in NUMERIC + words])
+    scored = model.stages[0].transform(rows).withColumn("__share", share)
     return scored.select(
         *rows.columns,
         exact_round(F.col("__share"), 3).alias("probability_delayed"),

@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cargolens.operators import anomalies, answers, delay_model, instructions, search, tfidf
@@ -228,3 +229,14 @@ def test_stored_index_gives_the_same_hits(spark, tmp_path):
     fresh = hits(passages, vectors, vocabulary)
     assert [r.doc for r in fresh][0] == "A"
     assert hits(*artifacts.read_index(spark, str(tmp_path))) == fresh
+
+
+def test_batches_walk_the_trees_as_spark_does(trained):
+    """Whole batches go down each tree, with the probabilities of Spark's row-by-row model."""
+    rows = delay_model.score(trained.model, trained.test)
+    assert "ArrowEvalPython" in rows._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.order_id: r.probability_delayed for r in rows.collect()}
+    share = vector_to_array("probability")[1].alias("share")
+    asked = trained.model.transform(trained.test).select("order_id", share).collect()
+    assert found == {r.order_id: pytest.approx(r.share, abs=5.1e-4) for r in asked}
+    assert len(set(found.values())) > 5

@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cargolens.llm.shingles import word_hashes
-from cargolens.llm.storage import discard, small, written
+from cargolens.llm.storage import discard, least_reached, small, written
 
 WORD_BITS = 18  # smoothing spreads over at least 2^18 words, more if the texts hold more
 PAIR_WEIGHT = 0.7  # of the pair model, the rest goes to the word model
@@ -181,18 +181,6 @@ def pair_losses(docs: DataFrame, target: DataFrame, words: DataFrame, head: Broa
     return found
 
 
-def _least_of_head(counts: DataFrame, most: int) -> int:
-    """The least count, a power of two, that at most ``most`` rows reach."""
-    sizes = counts.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()
-    at, pairs = max((r["power"] for r in sizes), default=0) + 1, 0
-    for row in sorted(sizes, key=lambda r: -r["power"]):
-        pairs += row["count"]
-        if pairs > most:
-            break
-        at = row["power"]
-    return 1 << at
-
-
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str = "doc_id",
                              text_column: str = "text") -> DataFrame:
     """``doc_id, n_words, loss_target, loss_background, difference`` of every whole text.
@@ -215,12 +203,12 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
     total = {c: sums[c] or 0 for c in ("t", "b")}
     vocabulary = max(1 << WORD_BITS, sums["n"])
     uses = words.withColumn("n", F.col("t") + F.col("b"))
-    common = uses.filter(F.col("n") >= _least_of_head(uses, HEAD_WORDS)).toArrow()
+    common = uses.filter(F.col("n") >= least_reached(uses, "n", HEAD_WORDS)).toArrow()
     head = docs.sparkSession.sparkContext.broadcast(Head(common, total, vocabulary))
     losses = pair_losses(docs, target, words, head, total, vocabulary, text_column)
     discard(words)
     losses = losses.withColumn("pair", F.xxhash64("before", "word"))
-    least = _least_of_head(losses, HEAD_PAIRS)
+    least = least_reached(losses, "n", HEAD_PAIRS)
     found = losses.filter(F.col("n") >= least).toArrow()
     keys = _keys(found["before"].to_numpy(), found["word"].to_numpy())
     order = np.argsort(keys)

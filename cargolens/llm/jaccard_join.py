@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cargolens.llm.components import connected_components
 from cargolens.llm.shingles import shingle_set
-from cargolens.llm.storage import small, written
+from cargolens.llm.storage import discard, least_reached, observed, small, written
 
 THRESHOLD = 75  # percent
 SUBSET = 2  # shingles of a subset
@@ -35,7 +35,7 @@ DRAWN = 8  # entries of a long list that open ones meet in the first round, grow
 FOLD_WORDS = 8  # 64-bit words of the sketches that open entries carry, the least that any set has
 SCAN_COST = 2.0  # of an entry in an inverted list, against one for a subset
 WINDOW_SHINGLES = 4_000_000  # shingles a task counts at a time,
-WINDOW_REPEATS = 8  # and sends on if they are repeated so often
+WINDOW_REPEATS = 2  # and sends on if they are repeated so often
 MOST_FREQUENT = 2_000_000  # shingles ordered by frequency, the bound of a broadcast
 
 
@@ -153,14 +153,19 @@ def _profiles(rows: DataFrame) -> DataFrame:
 def _frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and their places in the order of frequency.
 
-    At most ``MOST_FREQUENT`` shingles can have that share of all, so no more are fetched. The
-    order only decides which shingles of a set come first, never what is found.
+    Those of the least frequency that at most ``MOST_FREQUENT`` shingles reach are fetched, whatever
+    their share of all: it falls as tables grow, while lists do not get shorter. Lists of fewer
+    entries than leave any open need no place. The order only decides which shingles of a set come
+    first, never what is found.
     """
-    total = found.agg(F.sum("n")).first()[0] or 0
-    counts = found.filter("shingle IS NOT NULL").groupBy("shingle").agg(
-        F.sum("repeats").alias("repeats")
+    counts = written(
+        found.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("repeats").alias("repeats"))
+        .filter(F.col("repeats") > LEADERS),
+        "frequent",
     )
-    table = counts.filter(F.col("repeats") * MOST_FREQUENT >= total).toArrow()
+    least = least_reached(counts, "repeats", MOST_FREQUENT)
+    table = counts.filter(F.col("repeats") >= least).toArrow()
+    discard(counts)
     shingles = table["shingle"].to_numpy().view(np.uint64)
     repeats = table["repeats"].to_numpy()
     place = np.empty(len(shingles), dtype=np.int32)
@@ -355,14 +360,8 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _sets(rows: DataFrame, classes: DataFrame, asked: DataFrame, moved: set[int]) -> DataFrame:
-    """``class, set`` of the classes asked for, each read from one of its documents."""
-    chosen = written(
-        classes.join(small(asked), "class", "left_semi").select(
-            F.col("class").alias("wanted"), F.col("doc").alias("chosen")
-        ),
-        "chosen",
-    )
+def _sets(rows: DataFrame, chosen: DataFrame, moved: set[int]) -> DataFrame:
+    """``class, set`` of the classes ``wanted``, each read from the document ``chosen`` for it."""
 
     def run(batches):
         for batch in batches:
@@ -417,11 +416,13 @@ def _open_entries(entries: DataFrame, groups: DataFrame) -> DataFrame:
         F.sum("n").alias("entries"), F.count("*").alias("components"),
     )
     mixed = mixed.filter("components > 1").drop("components")
-    return written(
+    found = written(
         labelled.join(mixed, "sig").withColumn("minor", F.col("component") != F.col("major"))
         .drop("major"),
         "open",
     )
+    discard(labelled)
+    return found
 
 
 def _across(entries: DataFrame, others: DataFrame, percent: int) -> DataFrame:
@@ -504,34 +505,51 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     near = written(_near(pairs, classes, percent), "near")
 
     def compared(candidates):
-        asked = candidates.select(F.col("a").alias("class")).union(candidates.select("b"))
-        sets = written(_sets(rows, classes, written(asked.distinct(), "asked"), moved), "sets")
-        return written(_links(candidates, sets, percent), "links")
+        asked = written(
+            candidates.select(F.col("a").alias("class")).union(candidates.select("b")).distinct(),
+            "asked",
+        )
+        chosen = written(
+            classes.join(small(asked), "class", "left_semi").select(
+                F.col("class").alias("wanted"), F.col("doc").alias("chosen")
+            ),
+            "chosen",
+        )
+        sets = written(_sets(rows, chosen, moved), "sets")
+        found, seen = observed(_links(candidates, sets, percent), "links", n=F.count(F.lit(1)))
+        discard(asked, chosen, sets)
+        return found, seen["n"]
 
-    links = compared(near)
+    links, _ = compared(near)
     groups = connected_components(links)
     lists = scanned.filter("b IS NULL").select("sig", F.col("a").alias("class"), "n", "rest")
-    entries = _open_entries(lists, groups)
-    asked = written(entries.select("class").distinct(), "asked")
+    first = _open_entries(lists, groups)
+    discard(scanned, links)
+    asked = written(first.select("class").distinct(), "asked")
     folded = _folded(classes.join(small(asked), "class", "left_semi"))
-    entries = written(entries.join(folded, "class"), "open")
+    entries = written(first.join(folded, "class"), "open")
+    discard(first, asked)
     tried, most = near, DRAWN
     while longest := entries.agg(F.max("entries")).first()[0]:
         pairs = _across(entries, _drawn_entries(entries, most), percent)
-        near = written(
-            _near(pairs.join(tried, ["a", "b"], "left_anti"), classes, percent), "near"
+        near, seen = observed(
+            _near(pairs.join(tried, ["a", "b"], "left_anti"), classes, percent), "near",
+            n=F.count(F.lit(1)),
         )
-        found = None if near.isEmpty() else compared(near)
-        gained = found is not None and not found.isEmpty()
+        found, gained = compared(near) if seen["n"] else (None, 0)
         if gained:
-            links = links.union(found)
-            groups = connected_components(links)
+            # Components so far are stars of few edges, and stand for all links they came from.
+            joined = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            groups = connected_components(joined.union(found))
         if most >= longest:
             break
-        entries = _open_entries(entries, groups) if gained else entries
+        if gained:
+            before, entries = entries, _open_entries(entries, groups)
+            discard(before)
         tried = tried.union(near)
         # A round that joins nothing leaves little for others: the next takes all entries.
         most = most * DRAWN if gained else longest
+    discard(entries)
     groups = written(groups, "groups")
     labelled = written(
         members.join(groups, members["class"] == groups["node"], "left").select(

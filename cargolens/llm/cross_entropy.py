@@ -18,7 +18,7 @@ PAIR_WEIGHT = 0.7  # of the pair model, the rest goes to the word model
 HEAD_WORDS = 200_000  # of the most frequent words, whose counts go to all tasks
 HEAD_PAIRS = 100_000  # pairs at most whose losses go to all tasks
 CHOSEN_FROM = 8_000  # texts, drawn to choose these pairs from; they are counted in all texts
-AT_ONCE = 1_000_000  # words or entries that a task works on at a time
+AT_ONCE = 300_000  # words or entries that a task works on at a time
 PASS_WORDS = 1_000_000_000  # of a pass over the texts, so that a part of the entries is on disk
 PASSES = 3  # at most
 PARTS = 48  # that entries are dealt to; few, as a text has a sum in each of them
@@ -182,22 +182,24 @@ def counts_of(docs: DataFrame, target: DataFrame, pairs: Broadcast, text_column:
     return written(sums.agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "words")
 
 
-def _entries(head: Broadcast, in_target: bool, number: int, passes: int, own_type: pa.DataType):
-    """A function of batches ``text, row, id`` to ``group, other, row, own``: the words whose losses
-    the head does not know, and ``own`` of each text (id, words, sums of the known losses).
+def _entries(head: Broadcast, in_target: bool, number: int, passes: int, id_type: pa.DataType):
+    """A function of batches ``text, row, id`` to ``group, other, row, id``: the words whose losses
+    the head does not know, and three own entries of each text, which alone have its id (``other``
+    is its number of words and, in bits, the sums of its known losses).
 
     A pair of frequent words is a group. Other words have groups of their own: ``other`` is the
     word before (0: none) or, with ``FOLLOWS`` added, the frequent word after. In the target,
     rows are -1 and texts have no entries.
     """
-    names = ["group", "other", "row", "own"]
+    names = ["group", "other", "row", "id"]
 
     def entries(batches):
         know = head.value
         for before, words, lengths, texts in _blocks(batches):
             rows = texts.column(1).to_numpy()
             text = np.repeat(np.arange(len(lengths)), lengths)
-            word, before = know.codes(words), np.where(before == 0, 0, know.codes(before))
+            word = know.codes(words)
+            before = np.where(before == 0, 0, np.roll(word, 1))
             pairs = before << 32 | word
             frequent = np.flatnonzero((before > 0) & (word > 0))
             hit, at = _found(know.pairs, pairs[frequent])
@@ -211,14 +213,11 @@ def _entries(head: Broadcast, in_target: bool, number: int, passes: int, own_typ
                     ]), len(lengths)).astype(float)
                     for k in (0, 1)
                 ]
-                own = [texts.column(2), pa.array(lengths), *map(pa.array, sums)]
-                none = pa.array(np.zeros(len(lengths), np.int64))
-                # Dealt by their rows, after all other entries of a task.
-                dealt = pa.array(TEXT + (rows & (TEXT - 1)))
-                yield pa.RecordBatch.from_arrays(
-                    [dealt, none, pa.array(rows),
-                     pa.StructArray.from_arrays(own, fields=list(own_type))], names
-                )
+                for kind, x in enumerate([lengths.astype(np.int64), *(x.view(np.int64) for x in sums)]):
+                    # Dealt by their rows, after all other entries of a task.
+                    dealt = TEXT + ((rows << 2) & (TEXT - 1)) + kind
+                    own = [pa.array(v) for v in (dealt, x, rows)]
+                    yield pa.RecordBatch.from_arrays([*own, texts.column(2)], names)
             rest, rare, after = frequent[~hit], word < 0, (before < 0) & (word > 0)
             group = np.concatenate([pairs[rest], word[rare], before[after]])
             other = np.concatenate([np.zeros(len(rest), np.int64), before[rare], word[after] + FOLLOWS])
@@ -230,7 +229,7 @@ def _entries(head: Broadcast, in_target: bool, number: int, passes: int, own_typ
                 row = np.full(len(row), -1)
             for batch in _batches(names[:3], group, other, row):
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.nulls(len(batch), own_type)], names
+                    [*batch.columns, pa.nulls(len(batch), id_type)], names
                 )
 
     return entries
@@ -294,8 +293,11 @@ def _scored(head: Broadcast, names: list[str], types: list[pa.DataType]):
                 cut = int(np.searchsorted(group, TEXT))
                 if cut < len(group):
                     texts = batch.slice(cut)
-                    ids, n, t, b = texts.column(3).flatten()
-                    yield sent(len(texts), row=texts.column(2), doc_id=ids, n_words=n, t=t, b=b)
+                    kind, of = group[cut:] & 3, texts.column(1).to_numpy()
+                    n, t, b = (
+                        pa.array(of if k == 0 else of.view(np.float64), mask=kind != k) for k in range(3)
+                    )
+                    yield sent(len(texts), row=texts.column(2), doc_id=texts.column(3), n_words=n, t=t, b=b)
                 if cut:
                     held.append([batch.column(k).to_numpy()[:cut] for k in range(3)])
                     size += cut
@@ -390,8 +392,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
     asked = target.select(F.col(text_column).alias("text"), F.lit(-1).cast("long").alias("row"), none.alias("id"))
     id_type = rows.schema["id"].dataType.simpleString()
     arrow_id = rows.limit(0).toArrow().schema.field("id").type
-    own_type = pa.struct([("id", arrow_id), ("n", pa.int64()), ("t", pa.float64()), ("b", pa.float64())])
-    entry = f"group long, other long, row long, own struct<id:{id_type},n:bigint,t:double,b:double>"
+    entry = f"group long, other long, row long, id {id_type}"
     numbers = ["before", "n_t", "n_b", "word_t", "word_b"]
     names = ["row", "doc_id", "n_words", "t", "b", *numbers]
     types = [pa.int64(), arrow_id, pa.int64(), pa.float64(), pa.float64(), *[pa.int64()] * 5]
@@ -404,8 +405,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
     if passes > 1:  # which must find the same rows under the same numbers
         rows = numbered = written(rows, "rows")
     for number in range(passes):
-        entries = asked.mapInArrow(_entries(head, True, number, passes, own_type), entry).union(
-            rows.mapInArrow(_entries(head, False, number, passes, own_type), entry)
+        entries = asked.mapInArrow(_entries(head, True, number, passes, arrow_id), entry).union(
+            rows.mapInArrow(_entries(head, False, number, passes, arrow_id), entry)
         )
         dealt = entries.repartition(dealt_to, "group").sortWithinPartitions("group")
         parts.append(written(dealt.mapInArrow(_scored(head, names, types), schema), "sums"))
@@ -415,7 +416,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
         )
         done = parts[-1].filter("before IS NULL").select("row", "doc_id", "n_words", "t", "b")
         sums = done.union(left).groupBy("row").agg(
-            F.first("doc_id", ignorenulls=True).alias("doc_id"),  # only a text's own entry has it
+            F.first("doc_id", ignorenulls=True).alias("doc_id"),  # only a text's own entries have it
             *(F.sum(c).alias(c) for c in ("n_words", "t", "b")),
         )
         if passes > 1:

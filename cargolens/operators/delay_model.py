@@ -14,6 +14,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cargolens.functions.numbers import exact_round, spread_key
+from cargolens.operators import delay_forest
 from cargolens.operators.filters import completed, is_delayed, lookup
 from cargolens.operators.order_statistics import column_medians, pair_cuts, quantiles, up_to
 from cargolens.operators.scorecard import scorecard
@@ -33,9 +34,8 @@ TRAIN_SHARE = 0.8
 DELAYED_FROM = 0.5
 # ----------------------------------------------------------------------------
 
-FIT_ROWS = 50_000  # labelled rows that trees grow on
-ROWS_PER_PART = 4096  # of them in a partition
-DRAWS = 1 << 20  # steps of the share that is drawn
+ROWS_PER_PART = delay_forest.BLOCK_ROWS  # training rows of a block, in which copies are drawn
+DRAWS = 1 << 20  # steps of the share that is drawn if a caller asks for fewer rows
 
 
 def _with_dimensions(orders: DataFrame, suppliers: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -106,40 +106,52 @@ def stratified_split(features: DataFrame, train_share: float = TRAIN_SHARE) -> D
     return hashed.withColumn("split", F.when(in_train, "train").otherwise("test")).drop("__place")
 
 
-def class_weight(train: DataFrame) -> Column:
-    """n / (classes present * rows of the class)."""
+def class_weights(train: DataFrame) -> tuple[int, np.ndarray]:
+    """The rows, and n / (classes present * rows of the class) for classes 0 and 1."""
     sizes = {row.is_delayed: row.n for row in train.groupBy("is_delayed").agg(
         F.count("*").alias("n")
     ).collect()}
-    total, weight = sum(sizes.values()), F.lit(1.0)
-    for label, size in sizes.items():
-        weight = F.when(
-            F.col("is_delayed") == label, total / (len(sizes) * size)
-        ).otherwise(weight)
-    return weight
+    if not sizes or not sizes.keys() <= {0, 1}:
+        raise ValueError("no rows to train on, or a label other than 0 and 1")
+    total = sum(sizes.values())
+    weights = [total / (len(sizes) * sizes[label]) if label in sizes else 1.0 for label in (0, 1)]
+    return total, np.array(weights)
 
 
 def fit(train: DataFrame, trees: int = TREES, seed: int = SEED) -> PipelineModel:
-    """One-hot encoding (unknown words give zeros) and a balanced random forest."""
+    """One-hot encoding (unknown words give zeros) and a balanced random forest on all rows.
+
+    Words, cuts of the numbers, class weights and trees come from every row of ``train``. A
+    tree takes each row as often as a draw by its place in its block says (bagging). Reads the
+    frame a few times; trees are grown on packed rows.
+    """
     indices = [f"{c}_index" for c in CATEGORICAL]
     flags = [f"{c}_flags" for c in CATEGORICAL]
-    stages = [
+    n_rows, weights = class_weights(train)
+    encoder = Pipeline(stages=[
         StringIndexer(
             inputCols=CATEGORICAL, outputCols=indices, handleInvalid="keep",
             stringOrderType="alphabetAsc",
         ),
         OneHotEncoder(inputCols=indices, outputCols=flags, dropLast=True),
         VectorAssembler(inputCols=NUMERIC + flags, outputCol="features"),
-        RandomForestClassifier(
-            labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees,
-            maxDepth=MAX_DEPTH, minInstancesPerNode=MIN_LEAF, featureSubsetStrategy="sqrt",
-            seed=seed, maxMemoryInMB=1024, cacheNodeIds=True,
-        ),
-    ]
-    weighted = train.withColumn("weight", class_weight(train)).withColumn(
-        "label", F.col("is_delayed").cast("double")
+    ]).fit(train)
+    n_words = [len(words) for words in encoder.stages[0].labelsArray]
+    cuts = delay_forest.cut_points(train, NUMERIC)
+    blocks = delay_forest.pack(
+        encoder.stages[0].transform(train), cuts, NUMERIC, indices, "is_delayed", n_rows,
+        ROWS_PER_PART,
     )
-    return Pipeline(stages=stages).fit(weighted)
+    forest = delay_forest.grow(blocks, cuts, n_words, weights, trees, MAX_DEPTH, MIN_LEAF, seed)
+    settings = RandomForestClassifier(
+        labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees,
+        maxDepth=MAX_DEPTH, minInstancesPerNode=MIN_LEAF, featureSubsetStrategy="sqrt", seed=seed,
+    )
+    model = delay_forest.as_model(
+        train.sparkSession, delay_forest.node_rows(forest, cuts, weights),
+        len(NUMERIC) + sum(n_words), settings,
+    )
+    return PipelineModel(stages=[*encoder.stages, model])
 
 
 def _forest_nodes(model: PipelineModel) -> pd.DataFrame:
@@ -355,12 +367,12 @@ class TrainedDelayModel:
 
 
 def train(
-    features: DataFrame, trees: int = TREES, seed: int = SEED, fit_rows: int = FIT_ROWS
+    features: DataFrame, trees: int = TREES, seed: int = SEED, fit_rows: int | None = None
 ) -> TrainedDelayModel:
     """Split, impute and fit. Frames with a ``split`` column keep their split.
 
-    Trees grow on all training rows or, where there are more than ``fit_rows``, on about that
-    many, drawn by a hash of the row. Medians, split and evaluation are over all rows.
+    Trees grow on all training rows. Only a caller that names ``fit_rows`` gets trees of about
+    that many, drawn by a hash of the row; medians, split and evaluation are over all rows.
     """
     # Read by the split, the medians, the fit and the evaluation.
     ready = materialize(features)
@@ -370,18 +382,8 @@ def train(
     imputed = impute(ready, medians)
     chosen = imputed.filter("split = 'train'")
     n_train = chosen.count()
-    if n_train > fit_rows:
+    if fit_rows is not None and n_train > fit_rows:
         row = F.xxhash64(F.lit(seed), "order_id", "supplier_id", "product_id", "quantity")
         chosen = chosen.filter(F.pmod(row, F.lit(DRAWS)) < DRAWS * fit_rows // n_train)
-    # Each stage reads these rows. Bagging goes by partition and position, so both follow from
-    # the rows alone: the same rows and seed give the same model on any number of cores.
-    part = (
-        chosen.repartition(-(-min(n_train, fit_rows) // ROWS_PER_PART) or 1, "order_id")
-        .sortWithinPartitions(
-            "order_id", "supplier_id", "product_id", *NUMERIC, *CATEGORICAL, "is_delayed"
-        )
-        .persist()
-    )
-    model = fit(part, trees, seed)
-    part.unpersist()
+    model = fit(chosen, trees, seed)
     return TrainedDelayModel(model, medians, n_train, imputed.filter("split = 'test'"))
